@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.runtime import ship
+
 #: Rows in an Arrow batch at most: texts are long, and a batch is held whole.
 BATCH_ROWS = 256
 
@@ -38,7 +40,8 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def by_batch(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with batches of few rows."""
+    """mapInArrow with batches of few rows, by functions of this package."""
+    ship(df.sparkSession)
     conf = df.sparkSession.conf
     if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

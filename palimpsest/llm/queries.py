@@ -4,18 +4,51 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from palimpsest.llm import simhash
+from palimpsest.llm import bpe, mixing, records, simhash, syncmers
 from palimpsest.llm.common import table
 
 
+TOKENIZER = "word_bpe_49k.json"
+
+
+def op1_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = syncmers.fingerprints(table(spark, sf_dir, "documents"))
+    return found.withColumn("edited_sha256", F.sha2("edited", 256)).drop("edited")
+
+
 def op2_simhash_bk_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, radius=2)
 
 
+def op7_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"))
+
+
+def op8_bpe_segment_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = records.written_and_read(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), end_id=2, as_bytes=True)
+    return read.select("doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_closed_syncmers": op1_closed_syncmers,
     "op2_simhash_bk_tree": op2_simhash_bk_tree,
+    "op7_sainte_lague_mix": op7_sainte_lague_mix,
+    "op8_bpe_segment_tree": op8_bpe_segment_tree,
+    "op10_token_records": op10_token_records,
 }
 
 ORACLE_SQL: dict[str, str] = {}
