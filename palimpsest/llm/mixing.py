@@ -120,12 +120,14 @@ def repeated(docs: DataFrame, **options) -> DataFrame:
     """The mix itself, with the columns of docs: each document as often as whole passes take it, and once more what a run of blocks takes of it (all of it but at a run's ends)."""
     names = docs.columns
     sized = cut(docs.select("doc_id", "source", size_of(F.col("text")).alias("size")))
-    rows = mix(docs.withColumn("size", size_of(F.col("text"))), sized=sized, **options).where("taken > 0")
+    others = [c for c in names if c not in ("doc_id", "source", "text", "n_chars")]
+    rows = docs.select("doc_id", "source", "text", size_of(F.col("text")).alias("size"), *[F.col(c).alias(f"_other_{c}") for c in others])
+    rows = mix(rows, sized=sized, **options).where("taken > 0")
     copies = F.expr("cast(taken div size as int)")
     part = F.col("taken") % F.col("size")
-    texts = F.when(part == 0, F.array_repeat("text", copies)).otherwise(
-        F.concat(F.array_repeat("text", copies), F.array(F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), (F.col("_from") + 1).cast("int"), part.cast("int")), " ")))
-    )
+    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    some = F.array_join(F.slice(words, (F.col("_from") + 1).cast("int"), part.cast("int")), " ")
+    texts = F.when(part == 0, F.array_repeat("text", copies)).otherwise(F.concat(F.array_repeat("text", copies), F.array(some)))
     out = rows.withColumn("_text", F.explode(texts))
-    new = {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
-    return out.select([new[c].alias(c) if c in new else F.col(c) for c in names])
+    new = {"doc_id": F.col("doc_id"), "source": F.col("source"), "text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
+    return out.select([(new[c] if c in new else F.col(f"_other_{c}")).alias(c) for c in names])

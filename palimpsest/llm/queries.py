@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import bpe, mixing, records, simhash, syncmers
+from palimpsest.llm import bpe, chat, hamming, html_main, kneser_ney, mixing, records, simhash, syncmers, urlrules
 from palimpsest.llm.common import table
 
 
@@ -24,6 +24,35 @@ def op2_simhash_bk_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, radius=2)
 
 
+RULES = [
+    urlrules.Rule("com", "/", "allow"),
+    urlrules.Rule("example.com", "/en/", "block"),
+    urlrules.Rule("www.example.com", "/en/", "allow"),
+    urlrules.Rule("net", "/es/", "block"),
+    urlrules.Rule("net", "/fr/", "block"),
+]
+#: For URLs that no rule fits.
+PATTERNS = [urlrules.Rule("*", f"*/{word}/", "block") for word in ("ads", "cgi-bin", "login")]
+
+
+def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlrules.judge(table(spark, sf_dir, "pages"), RULES, PATTERNS)
+
+
+def op4_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return hamming.top_k(rows, rows.where("vec_id % 20 = 0"), k=10)
+
+
+def op5_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.array_join("blocks", " ")
+    return html_main.extract(table(spark, sf_dir, "pages")).select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"))
+
+
+def op6_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
@@ -38,6 +67,18 @@ def op8_bpe_segment_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: The tools that conversations may call.
+TOOLS: chat.Schemas = {
+    "search": {"query": ("string", True), "limit": ("integer", False)},
+    "fetch": {"url": ("string", True)},
+    "calculate": {"expression": ("string", True), "precision": ("number", False)},
+}
+
+
+def op9_chat_tool_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.formatted(table(spark, sf_dir, "conversations"), TOOLS)
+
+
 def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = records.written_and_read(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), end_id=2, as_bytes=True)
     return read.select("doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
@@ -46,8 +87,13 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_closed_syncmers": op1_closed_syncmers,
     "op2_simhash_bk_tree": op2_simhash_bk_tree,
+    "op3_url_rules": op3_url_rules,
+    "op4_multi_index_hashing": op4_multi_index_hashing,
+    "op5_html_main_text": op5_html_main_text,
+    "op6_kneser_ney_quality": op6_kneser_ney_quality,
     "op7_sainte_lague_mix": op7_sainte_lague_mix,
     "op8_bpe_segment_tree": op8_bpe_segment_tree,
+    "op9_chat_tool_links": op9_chat_tool_links,
     "op10_token_records": op10_token_records,
 }
 
