@@ -1,19 +1,50 @@
-"""The corpus pipeline: stages that each take (spark, docs, sf_dir) and return a DataFrame."""
+"""The corpus pipeline: quality classifier, near-duplicates, mixing of sources, tokens.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept; all but the last return
+the columns of documents.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from palimpsest.llm import simhash
+from palimpsest.llm import bpe, kneser_ney, mixing, simhash
 from palimpsest.llm.common import table
 
+TOKENIZER = "word_bpe_49k.json"
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which the language model of trusted text rejects none."""
+    return kneser_ney.kept(docs, table(spark, sf_dir, "labels"))
+
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs, width=5, radius=2)
+    """One document of each group whose fingerprints of five-word shingles are linked."""
+    return simhash.keep_one(docs, width=5, radius=3)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their source's share of the mix takes them."""
+    return mixing.repeated(docs)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of each document, and what they decode to."""
+    coded = bpe.encode_decode(docs, public_tokenizers.path(TOKENIZER))
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
 
 
-STAGES = [("near_dedup", near_dedup)]
+STAGES = [("quality", quality), ("near_dedup", near_dedup), ("mix", mix), ("tokenize", tokenize)]
 
+#: The language model and the merges of pairs are beyond SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
