@@ -47,8 +47,8 @@ def sainte_lague(parties: DataFrame, group: list[str], key: str, votes: str, sea
     certain = F.sum("_low").over(g)
     asked = p.select(*group, key, votes, seats, "_low", "_high", certain.alias("_certain")).where("_high > _low")
     asked = asked.select(*group, key, (F.col(seats) - F.col("_certain")).alias("_left"), F.explode(F.sequence("_low", F.col("_high") - 1)).alias("_j"), votes)
-    rank = F.row_number().over(g.orderBy(F.desc(F.col(votes) / (2 * F.col("_j") + 1)), key, "_j"))
-    won = asked.withColumn("_rank", rank).where("_rank <= _left").groupBy(*group, key).agg(F.count("*").alias("_won"))
+    place = F.row_number().over(g.orderBy(F.desc(F.col(votes) / (2 * F.col("_j") + 1)), key, "_j"))
+    won = asked.withColumn("_place", place).where("_place <= _left").groupBy(*group, key).agg(F.count("*").alias("_won"))
     return p.join(won, [*group, key], "left").withColumn(out, F.col("_low") + F.coalesce("_won", F.lit(0))).drop("_n", "_v", "_low", "_high", "_won")
 
 
