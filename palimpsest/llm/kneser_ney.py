@@ -138,7 +138,7 @@ def estimate(top: DataFrame, order: int = ORDER) -> DataFrame:
     below, out = None, []
     for n in range(1, order + 1):
         of_context = Window.partitionBy("lang", "_context")
-        x = levels[n].join(discounts(levels[n]), "lang")
+        x = levels[n].join(F.broadcast(discounts(levels[n])), "lang")  # a row a language
         x = x.withColumn("_context", F.shiftright("key", BITS)).withColumn("_d", F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3")))
         x = x.withColumns({"_total": F.sum("c").over(of_context), "_lost": F.sum("_d").over(of_context)})
         x = x.select("lang", "key", ((F.col("c") - F.col("_d")) / F.col("_total")).alias("_own"), (F.col("_lost") / F.col("_total")).alias("gamma"))
@@ -246,7 +246,7 @@ def half(n: int) -> object:
 
 def train(docs: DataFrame, labels: DataFrame, order: int = ORDER, shard_rows: int = SHARD_ROWS) -> Model:
     """The model of the first half of the trusted documents."""
-    texts = docs.where(half(0)).select("doc_id", language(), text_or_empty()).join(trusted_ids(labels), "doc_id", "left_semi")
+    texts = docs.where(half(0)).select("doc_id", language(), text_or_empty()).join(trusted_ids(labels).hint("merge"), "doc_id", "left_semi")
     model = estimate(counts(texts, order), order)
     return Model(shards_of(model, order, shard_rows), order)
 
