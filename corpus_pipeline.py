@@ -22,8 +22,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose fingerprints of five-word shingles are linked."""
-    return simhash.keep_one(docs, width=5, radius=3)
+    """One document of each group whose five-word shingles are alike by 0.8 or more."""
+    return simhash.keep_one(docs, simhash.near_texts(docs, width=5, likeness=0.8))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

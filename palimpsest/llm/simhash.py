@@ -123,38 +123,48 @@ def segments(n: int, bits: int = BITS) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(at, at[1:], strict=False)]
 
 
-def links(fps: DataFrame, radius: int, tree_size: int = 4096) -> DataFrame:
-    """Pairs (a, b) of the distinct fingerprints fp of which the links are a closure: of each tree, a spanning forest of its links."""
-    parts = F.array(*[F.lit(i << 56).bitwiseOR(F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << w) - 1))) for i, (a, w) in enumerate(segments(radius + 1))])
-    keyed = fps.select("fp", F.explode(parts).alias("shard"))
+def split_shards(keyed: DataFrame, tree_size: int) -> DataFrame:
+    """keyed (shard, node, code) with tree and guest: a shard above tree_size is several trees, and a member goes to its own and, as a guest, to those after it."""
     hot = keyed.groupBy("shard").count().where(F.col("count") > tree_size).select("shard", F.ceil(F.col("count") / tree_size).cast("int").alias("trees"))
-    dealt = keyed.join(hot, "shard", "left").select("shard", "fp", F.coalesce("trees", F.lit(1)).alias("trees"))
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("trees")).cast("int"))
-    dealt = dealt.select("shard", F.explode(F.sequence("own", F.col("trees") - 1)).alias("tree"), "own", "fp")
-    dealt = dealt.select("shard", "tree", (F.col("tree") > F.col("own")).alias("guest"), "fp")
+    dealt = keyed.join(hot, "shard", "left").withColumn("trees", F.coalesce("trees", F.lit(1)))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("trees")).cast("int"))
+    dealt = dealt.select("shard", F.explode(F.sequence("own", F.col("trees") - 1)).alias("tree"), "own", "node", "code")
+    return dealt.select("shard", "tree", (F.col("tree") > F.col("own")).alias("guest"), "node", "code")
+
+
+def tree_links(keyed: DataFrame, radius: int, tree_size: int) -> DataFrame:
+    """Pairs (a, b) of nodes of one shard whose codes (binary) are within the radius: of each tree, a spanning forest of its links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, tree, forest = None, BKTree(), Forest()
+        at, tree, forest, node_of = None, BKTree(), Forest(), {}
         for b in batches:
             a_col, b_col = [], []
-            for shard, k, guest, fp in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for shard, k, guest, node, code in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                value = int.from_bytes(code)
                 if (shard, k) != at:
-                    at, tree, forest = (shard, k), BKTree(), Forest()
-                    tree.add(fp & (1 << BITS) - 1)
+                    at, tree, forest, node_of = (shard, k), BKTree([value]), Forest(), {value: node}
                     continue
-                own = fp & (1 << BITS) - 1
-                near = tree.near(own, radius)
+                near = [node_of[v] for v in tree.near(value, radius)]
                 if guest:  # not kept: the forest holds members of the tree only
                     near[1:] = [x for x in near[1:] if forest.join(near[0], x)]
                 else:
-                    near = [x for x in near if forest.join(own, x)]
-                    tree.add(own)
-                a_col += [own] * len(near)
+                    near = [x for x in near if forest.join(node, x)]
+                    if value not in node_of:
+                        tree.add(value)
+                        node_of[value] = node
+                a_col += [node] * len(near)
                 b_col += near
             if a_col:
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(c, np.uint64).view(np.int64)) for c in (a_col, b_col)], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (a_col, b_col)], ["a", "b"])
 
-    return by_batch(dealt.repartition("shard", "tree").sortWithinPartitions("shard", "tree", "guest", "fp"), run, "a long, b long")
+    dealt = split_shards(keyed, tree_size).repartition("shard", "tree").sortWithinPartitions("shard", "tree", "guest", "node")
+    return by_batch(dealt, run, "a long, b long")
+
+
+def links(fps: DataFrame, radius: int, tree_size: int = 4096) -> DataFrame:
+    """Pairs (a, b) of the distinct fingerprints fp of which the links are a closure."""
+    parts = F.array(*[F.lit(i << 56).bitwiseOR(F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << w) - 1))) for i, (a, w) in enumerate(segments(radius + 1))])
+    return tree_links(fps.select(F.explode(parts).alias("shard"), F.col("fp").alias("node"), F.unhex(F.lpad(F.hex("fp"), 16, "0")).alias("code")), radius, tree_size)
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -179,16 +189,78 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, tree_size:
     """doc_id, fingerprint (16 lowercase hex digits), component_id (the smallest doc_id reachable by links), a row for each row of docs."""
     rows = cut(fingerprints(docs, width, seed))
     groups = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = components(links(groups.select("fp"), radius, tree_size)).withColumnsRenamed({"node": "fp"})
+    found = in_components(rows, groups, links(groups.select("fp"), radius, tree_size))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: Seeds of a wide fingerprint's words, and the bands of min-hashes that shard it: (bands, min-hashes a band).
+WIDE_WORDS, BANDS = 4, (10, 2)
+
+
+def scattered(x: np.ndarray, k: int) -> np.ndarray:
+    """Another 64-bit hash of the hashes, for each k."""
+    x = (x ^ np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def wide_simhash(text: bytes, width: int, words: int = WIDE_WORDS, bands: tuple[int, int] = BANDS, seed: int = SEED) -> tuple[bytes, list[int], int]:
+    """A fingerprint of 64 bits a word, the band keys, and a hash of the text's words; the bands of one text differ from each other."""
+    ones, n, n_min = np.zeros(64 * words, np.int64), 0, bands[0] * bands[1]
+    least, whole = np.full(n_min, (1 << 64) - 1, np.uint64), xxhash.xxh64(seed=seed)
+    for k, some in enumerate(word_lists(text.lower(), width - 1)):
+        if k and len(some) < width:
+            continue
+        hashes = shingle_hashes(some, width, seed)
+        whole.update(hashes.tobytes())
+        n += len(hashes)
+        for at in range(0, len(hashes), 1 << 14):
+            part = hashes[at : at + (1 << 14)]
+            for w in range(words):
+                bits = np.unpackbits(scattered(part, w).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                ones[64 * w : 64 * w + 64] += bits.sum(axis=0, dtype=np.int32)
+            for i in range(n_min):
+                least[i] = min(least[i], scattered(part, words + i).min())
+    code = np.packbits(ones * 2 > n, bitorder="little").tobytes()
+    keys = [xxhash.xxh64_intdigest(least[i * bands[1] : (i + 1) * bands[1]].tobytes(), i) for i in range(bands[0])]
+    return code, [k - (1 << 64) if k >> 63 else k for k in keys], int(np.int64(np.uint64(whole.intdigest())))
+
+
+def radius_of(likeness: float, bits: int, slack: float = 1.6) -> int:
+    """The bits in which 19 of 20 pairs of texts of that Jaccard likeness differ at most: their angle, by the cosine 2 J / (1 + J), and 1.6 standard deviations."""
+    p = np.arccos(2 * likeness / (1 + likeness)) / np.pi
+    return int(bits * p + slack * (bits * p * (1 - p)) ** 0.5)
+
+
+def near_texts(docs: DataFrame, width: int = 5, likeness: float = 0.8, words: int = WIDE_WORDS, bands: tuple[int, int] = BANDS, tree_size: int = 4096, seed: int = SEED) -> DataFrame:
+    """doc_id, component_id: documents whose shingles are alike by at least `likeness`, as wide fingerprints tell it.
+
+    At such a radius no segment of a fingerprint need be equal, so the shards are bands of min-hashes of the shingles: two texts
+    share a band with a chance of likeness ** min-hashes a band each, and at 0.8 miss all 10 bands of 2 four times in 100,000.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [wide_simhash(t.as_buffer().to_pybytes(), width, words, bands, seed) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[2] for g in got], pa.int64()), pa.array([g[0] for g in got], pa.binary()), pa.array([g[1] for g in got], pa.list_(pa.int64()))], ["doc_id", "node", "code", "bands"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = cut(by_batch(docs.select("doc_id", text_or_empty()), run, f"doc_id {kind}, node long, code binary, bands array<long>"))
+    texts = cut(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("code").alias("code"), F.min("bands").alias("bands")))
+    pairs = tree_links(texts.select(F.explode("bands").alias("shard"), "node", "code"), radius_of(likeness, 64 * words), tree_size)
+    return in_components(rows.select("doc_id", F.col("node").alias("fp")), texts.select(F.col("node").alias("fp"), "first"), pairs).select("doc_id", "component_id")
+
+
+def in_components(rows: DataFrame, groups: DataFrame, pairs: DataFrame) -> DataFrame:
+    """rows (doc_id, fp) with component_id. groups: fp, first (its smallest doc_id)."""
+    roots = components(pairs).withColumnsRenamed({"node": "fp"})
     groups = groups.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = groups.groupBy("root").agg(F.min("first").alias("component_id"))
-    groups = groups.join(least, "root").select("fp", "component_id")
-    return rows.join(groups, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return rows.join(groups.join(least, "root").select("fp", "component_id"), "fp")
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """docs, with one row of each component: that of the smallest doc_id (of rows that share it, the one whose text hashes lowest; of components without an id, the same)."""
-    found = near_duplicates(docs, **options)
+def keep_one(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """docs, with one row of each component of found (doc_id, component_id): that of the smallest doc_id; of rows that share it, the one whose text hashes lowest; of components without an id, the same."""
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
     names = docs.columns
     rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
