@@ -101,10 +101,10 @@ def canonical(role: Column, text: Column, calls: Column) -> Column:
     """A message as JSON: keys in order, no white space; a result's own JSON and the calls' in their normal form."""
     said = F.when(F.size(calls) > 0, F.trim(F.regexp_replace(text, CALL, ""))).otherwise(text)
     normal = F.transform(calls, lambda c: F.coalesce(F.to_json(F.try_parse_json(c)), F.to_json(F.struct(c.alias("malformed")))))
-    quoted = lambda c: F.regexp_extract(F.to_json(F.struct(c.alias("x"))), r'(?s)^\{"x":(.*)\}$', 1)
+    quoted = lambda c: F.when(c.isNull(), "null").otherwise(F.regexp_extract(F.to_json(F.struct(c.alias("x"))), r'(?s)^\{"x":(.*)\}$', 1))
     content = F.when(role == "tool", F.coalesce(F.to_json(F.try_parse_json(text)), quoted(said))).otherwise(quoted(said))
     listed = F.when(F.size(calls) > 0, F.concat(F.lit('"calls":['), F.array_join(normal, ","), F.lit("],"))).otherwise(F.lit(""))
-    return F.concat(F.lit("{"), listed, F.lit('"content":'), content, F.lit(',"role":'), F.coalesce(quoted(role), F.lit("null")), F.lit("}"))
+    return F.concat(F.lit("{"), listed, F.lit('"content":'), content, F.lit(',"role":'), quoted(role), F.lit("}"))
 
 
 def formatted(messages: DataFrame, schemas: Schemas | None = None, block_turns: int = BLOCK_TURNS) -> DataFrame:

@@ -40,6 +40,8 @@ APART_WORDS = frozenset(
 )
 #: Elements whose text can be the region.
 HOLDERS = frozenset("body main article section div td".split())
+#: Elements whose lines, if they are not mostly links, keep the region from closing in on a part beside them.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd td th figcaption".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 UNFINISHED = re.compile(r"<[a-zA-Z/!][^<>]*\Z")
@@ -209,7 +211,7 @@ def region(lines: list[Line], chosen: list[bool], share: float = 0.8) -> Node |
             continue
         own = len(line.text) if yes else 0
         total += own
-        is_prose = line.node.tag in ("p", "h1", "h2", "h3", "h4", "blockquote", "pre") or yes
+        is_prose = yes or line.node.tag in PROSE and 2 * line.link < len(line.text)
         for n in line.node.holders():
             mass[n] = mass.get(n, 0) + own
             prose[n] = prose.get(n, 0) + is_prose
