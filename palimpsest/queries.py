@@ -181,22 +181,22 @@ def rule_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as the files of bundles, which their sources are; every 37th counts as not inspected."""
-    rows = columns.scrubbed(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "text", TERMS)
-    hole = F.col("doc_id") % 37 == 0
-    reason = F.when(hole, F.when(F.col("doc_id") % 2 == 0, "binary").otherwise("member-cap"))
-    status = F.when(F.col("doc_id") % 74 == 0, "binary-skipped").when(hole, "guard-tripped").when(F.col("n_matches") > 0, "scrubbed").otherwise("unchanged")
+    """Documents as the files of bundles, which their sources are; short Spanish ones stand for what can't be inspected."""
+    rows = columns.scrubbed(table(spark, sf_dir, "documents"), "text", TERMS)
+    hole = (F.col("lang") == "es") & (F.col("n_chars") < 400)
+    reason = F.when(hole, F.when(F.col("n_chars") < 200, "binary").otherwise("member-cap"))
+    status = F.when(hole & (F.col("n_chars") < 200), "binary-skipped").when(hole, "guard-tripped").when(F.col("n_matches") > 0, "scrubbed").otherwise("unchanged")
     size = F.octet_length("text").cast("long")
     return rows.select(
         F.col("source").alias("object_key"), F.col("doc_id").alias("seq"), F.concat(F.lit("file-"), F.col("doc_id").cast("string")).alias("path"), status.alias("status"), reason.alias("reason"),
         F.when(hole, "not looked at").otherwise("utf-8").alias("detail"), size.alias("bytes_in"), F.when(hole, size).otherwise(F.octet_length("clean_text")).cast("long").alias("bytes_out"),
-        F.when(hole, 0).otherwise(F.col("n_matches")).cast("long").alias("match_count"), F.when(hole & (F.col("doc_id") % 3 == 0), F.col("n_matches")).otherwise(0).cast("long").alias("residual_hits"), F.lit("").alias("residual"),
+        F.when(hole, 0).otherwise(F.col("n_matches")).cast("long").alias("match_count"), F.when(hole & (F.col("n_chars") > 100), F.col("n_matches")).otherwise(0).cast("long").alias("residual_hits"), F.lit("").alias("residual"),
     )
 
 
-SQL_FILES = f"""(SELECT source AS object_key, d.doc_id AS seq, CASE WHEN d.doc_id % 74 = 0 THEN 'binary-skipped' WHEN d.doc_id % 37 = 0 THEN 'guard-tripped' WHEN n_matches > 0 THEN 'scrubbed' ELSE 'unchanged' END AS status,
-    CASE WHEN d.doc_id % 37 = 0 THEN CASE WHEN d.doc_id % 2 = 0 THEN 'binary' ELSE 'member-cap' END END AS reason, strlen(d.text) AS bytes_in, CASE WHEN d.doc_id % 37 = 0 THEN strlen(d.text) ELSE strlen(clean_text) END AS bytes_out,
-    CASE WHEN d.doc_id % 37 = 0 THEN 0 ELSE n_matches END AS match_count, CASE WHEN d.doc_id % 37 = 0 AND d.doc_id % 3 = 0 THEN n_matches ELSE 0 END AS residual_hits
+SQL_FILES = f"""(SELECT source AS object_key, d.doc_id AS seq, CASE WHEN lang = 'es' AND n_chars < 400 AND n_chars < 200 THEN 'binary-skipped' WHEN lang = 'es' AND n_chars < 400 THEN 'guard-tripped' WHEN n_matches > 0 THEN 'scrubbed' ELSE 'unchanged' END AS status,
+    CASE WHEN lang = 'es' AND n_chars < 400 THEN CASE WHEN n_chars < 200 THEN 'binary' ELSE 'member-cap' END END AS reason, strlen(d.text) AS bytes_in, CASE WHEN lang = 'es' AND n_chars < 400 THEN strlen(d.text) ELSE strlen(clean_text) END AS bytes_out,
+    CASE WHEN lang = 'es' AND n_chars < 400 THEN 0 ELSE n_matches END AS match_count, CASE WHEN lang = 'es' AND n_chars < 400 AND n_chars > 100 THEN n_matches ELSE 0 END AS residual_hits
     FROM documents d JOIN ({sql_scrub(TERMS, 'documents', 'doc_id')}) s USING (doc_id))"""
 SQL_COUNTERS = """count(*) AS files_total, count(*) FILTER (status = 'scrubbed') AS files_scrubbed, count(*) FILTER (status = 'unchanged') AS files_unchanged, count(*) FILTER (status = 'binary-skipped') AS files_binary_skipped,
     count(*) FILTER (status NOT IN ('scrubbed', 'unchanged', 'binary-skipped')) AS files_passthrough, count(*) FILTER (status IN ('scrubbed', 'unchanged')) AS files_inspected, count(*) FILTER (status NOT IN ('scrubbed', 'unchanged')) AS files_not_inspected,
@@ -307,27 +307,27 @@ def policy_resolution_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.by_prefix(objects, prefixes, "default").select("page_id", "policy")
 
 
-SQL_KEY = "CASE event_id % 10 WHEN 0 THEN 'processed/' || event_id WHEN 1 THEN 'cancelled/' || event_id WHEN 2 THEN 'in/' || (event_id + 1) || '.terms.json' ELSE 'in/' || event_id END"
+SQL_KEY = "CASE WHEN event_type = 'purchase' THEN 'processed/' || event_id WHEN event_type = 'signup' AND value < 5 THEN 'cancelled/' || event_id WHEN event_type = 'view' AND value < 5 THEN 'in/' || (event_id + 1) || '.terms.json' ELSE 'in/' || event_id END"
 
 
 def event_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as objects of a bucket: some done, some cancelled, some the policy of the next one."""
     i = F.col("event_id")
-    key = F.when(i % 10 == 0, F.concat(F.lit("processed/"), i.cast("string"))).when(i % 10 == 1, F.concat(F.lit("cancelled/"), i.cast("string")))
-    key = key.when(i % 10 == 2, F.concat(F.lit("in/"), (i + 1).cast("string"), F.lit(".terms.json"))).otherwise(F.concat(F.lit("in/"), i.cast("string")))
+    key = F.when(F.expr("event_type = 'purchase'"), F.concat(F.lit("processed/"), i.cast("string"))).when(F.expr("event_type = 'signup' and value < 5"), F.concat(F.lit("cancelled/"), i.cast("string")))
+    key = key.when(F.expr("event_type = 'view' and value < 5"), F.concat(F.lit("in/"), (i + 1).cast("string"), F.lit(".terms.json"))).otherwise(F.concat(F.lit("in/"), i.cast("string")))
     return table(spark, sf_dir, "events").select("event_id", key.alias("object_key"), F.col("ts").alias("last_modified"), "user_id", "event_type", "value", F.col("event_type").alias("content"))
 
 
 SQL_OBJECTS = f"(SELECT event_id, {SQL_KEY} AS object_key, ts AS last_modified, user_id, event_type, value FROM events)"
-SQL_ELIGIBLE = f"SELECT object_key, last_modified FROM {SQL_OBJECTS} o WHERE NOT ends_with(object_key, '.terms.json') AND NOT starts_with(object_key, 'processed/') AND NOT starts_with(object_key, 'cancelled/') AND event_id % 7 <> 3 AND NOT (event_id % 11 = 5 AND event_id % 2 = 0)"
+SQL_ELIGIBLE = f"SELECT object_key, last_modified FROM {SQL_OBJECTS} o WHERE NOT ends_with(object_key, '.terms.json') AND NOT starts_with(object_key, 'processed/') AND NOT starts_with(object_key, 'cancelled/') AND user_id >= 20 AND NOT (event_type = 'error' AND value > 10 AND user_id < 75)"
 
 
 def eligible_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     objects = event_objects(spark, sf_dir)
-    cancelled = objects.where("event_id % 7 = 3")
+    cancelled = objects.where("user_id < 20")
     now = F.lit("2100-01-01").cast("timestamp")
-    until = F.when(F.col("event_id") % 2 == 0, F.lit("2100-01-02")).otherwise(F.lit("2099-01-01")).cast("timestamp")
-    deferred = objects.where("event_id % 11 = 5").select("object_key", until.alias("defer_until"))
+    until = F.when(F.col("user_id") < 75, F.lit("2100-01-02")).otherwise(F.lit("2099-01-01")).cast("timestamp")
+    deferred = objects.where("event_type = 'error' and value > 10").select("object_key", until.alias("defer_until"))
     return queueing.eligible(objects, cancelled, deferred, now)
 
 
@@ -359,25 +359,25 @@ def queue_position(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("queue_cap", f"SELECT object_key, \"at\", (SELECT greatest(count(*) - 500, 0) FROM {SQL_QUEUE}) AS dropped FROM {SQL_QUEUE} ORDER BY \"at\", object_key LIMIT 500")
 def queue_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept, dropped = queueing.synced(eligible_keys(spark, sf_dir).withColumnRenamed("last_modified", "at"), 500)
-    return kept.crossJoin(F.broadcast(dropped))  # one row
+    return kept.withColumn("dropped", F.lit(dropped.first()["dropped"]))
 
 
-@query("retry_order", f"SELECT object_key, CASE WHEN event_id % 5 = 0 THEN last_modified + INTERVAL 1 HOUR ELSE last_modified END AS \"at\" FROM {SQL_OBJECTS}")
+@query("retry_order", f"SELECT object_key, CASE WHEN event_type = 'error' THEN last_modified + INTERVAL 1 HOUR ELSE last_modified END AS \"at\" FROM {SQL_OBJECTS}")
 def retry_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     objects = event_objects(spark, sf_dir)
-    attempts = objects.where("event_id % 5 = 0").select("object_key", F.lit(2).alias("attempts"), (F.col("last_modified") + F.expr("interval 1 hour")).alias("defer_until"))
+    attempts = objects.where("event_type = 'error'").select("object_key", F.lit(2).alias("attempts"), (F.col("last_modified") + F.expr("interval 1 hour")).alias("defer_until"))
     return queueing.due(objects, attempts).select("object_key", "at")
 
 
-@query("retry_backoff", "SELECT event_id, CAST(least(power(2, least(event_id % 12, 6)), 60) AS BIGINT) AS seconds FROM events")
+@query("retry_backoff", "SELECT event_id, CAST(least(power(2, least(floor(value), 6)), 60) AS BIGINT) AS seconds FROM events")
 def retry_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", queueing.backoff_seconds(F.col("event_id") % 12).alias("seconds"))
+    return table(spark, sf_dir, "events").select("event_id", queueing.backoff_seconds(F.floor("value")).alias("seconds"))
 
 
-@query("deferral_sweep", f"SELECT object_key FROM {SQL_OBJECTS} WHERE event_id % 5 = 0 AND event_id % 3 = 0")
+@query("deferral_sweep", f"SELECT object_key FROM {SQL_OBJECTS} WHERE event_type = 'error' AND value > 5")
 def deferral_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     objects = event_objects(spark, sf_dir)
-    return queueing.still_there(objects.where("event_id % 5 = 0").select("object_key"), objects.where("event_id % 3 = 0"))
+    return queueing.still_there(objects.where("event_type = 'error'").select("object_key"), objects.where("value > 5"))
 
 
 @query("history_topn", f"SELECT object_key, last_modified FROM {SQL_OBJECTS} ORDER BY last_modified DESC, object_key LIMIT 50")
@@ -391,21 +391,21 @@ def latest_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queueing.latest_jobs(jobs)
 
 
-SQL_STATES = "SELECT object_key, coalesce(CASE WHEN event_id % 3 = 0 THEN 'processing' END, CASE WHEN event_id % 5 = 0 THEN 'queued' END, CASE WHEN event_id % 7 = 0 THEN 'done' END, CASE WHEN event_id % 2 = 0 THEN 'reported' END, 'unknown') AS status, coalesce(CASE WHEN event_id % 3 = 0 THEN 'job' END, CASE WHEN event_id % 5 = 0 THEN 'queue' END, CASE WHEN event_id % 7 = 0 THEN 'digest' END, CASE WHEN event_id % 2 = 0 THEN 'report' END, 'none') AS source"
+SQL_STATES = "SELECT object_key, coalesce(CASE WHEN event_type = 'click' THEN 'processing' END, CASE WHEN user_id < 40 THEN 'queued' END, CASE WHEN value > 20 THEN 'done' END, CASE WHEN event_type IN ('view', 'error') THEN 'reported' END, 'unknown') AS status, coalesce(CASE WHEN event_type = 'click' THEN 'job' END, CASE WHEN user_id < 40 THEN 'queue' END, CASE WHEN value > 20 THEN 'digest' END, CASE WHEN event_type IN ('view', 'error') THEN 'report' END, 'none') AS source"
 
 
 @query("status_cascade", f"{SQL_STATES} FROM {SQL_OBJECTS}")
 def status_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     objects = event_objects(spark, sf_dir)
-    of = lambda n, status: objects.where(f"event_id % {n} = 0").select("object_key", F.lit(status).alias("status"))
-    return resolve.status_of(objects.select("object_key"), of(3, "processing"), of(5, "queued"), of(7, "done"), of(2, "reported"))
+    of = lambda which, status: objects.where(which).select("object_key", F.lit(status).alias("status"))
+    return resolve.status_of(objects.select("object_key"), of("event_type = 'click'", "processing"), of("user_id < 40", "queued"), of("value > 20", "done"), of("event_type in ('view', 'error')", "reported"))
 
 
-@query("output_keys", f"SELECT object_key, CASE WHEN event_id % 3 = 0 THEN 'review/' || object_key WHEN event_id % 4 = 0 THEN 'out/' || object_key ELSE object_key END AS output_key FROM {SQL_OBJECTS}")
+@query("output_keys", f"SELECT object_key, CASE WHEN event_type = 'click' THEN 'review/' || object_key WHEN value > 10 THEN 'out/' || object_key ELSE object_key END AS output_key FROM {SQL_OBJECTS}")
 def output_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     objects = event_objects(spark, sf_dir)
-    jobs = objects.where("event_id % 3 = 0 or event_id % 4 = 1").select("object_key", F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("review/"), "object_key")).otherwise("").alias("output_key"))
-    digests = objects.where("event_id % 4 = 0").select("object_key", F.concat(F.lit("out/"), "object_key").alias("output_key"))
+    jobs = objects.where("event_type in ('click', 'view')").select("object_key", F.when(F.col("event_type") == "click", F.concat(F.lit("review/"), "object_key")).otherwise("").alias("output_key"))
+    digests = objects.where("value > 10").select("object_key", F.concat(F.lit("out/"), "object_key").alias("output_key"))
     return resolve.output_keys(objects.select("object_key"), jobs, digests)
 
 
