@@ -28,7 +28,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--report", default="", help="file for the report")
     p.add_argument("--audit", default="full", choices=report.AUDITS)
     p.add_argument("--redact-report", default=False, **yes_no, help="digests in place of what was found")
-    p.add_argument("--salt", default="scrubber")
+    p.add_argument("--salt", default="palimpsest")
     p.add_argument("--dry-run", default=False, **yes_no, help="report only")
     p.add_argument("--max-depth", type=int, default=16)
     p.add_argument("--max-expand-bytes", type=int, default=2 << 30)

@@ -260,9 +260,9 @@ def audit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match_records(spark, sf_dir).select("doc_id", "rule", "line", "offset")
 
 
-@query("audit_redacted", f"SELECT doc_id, ordinal, rule, concat('sha256:', substr(sha256(concat('scrubber', original)), 1, 12)) AS original FROM ({sql_matches(STRICT, 'documents', 'doc_id')})")
+@query("audit_redacted", f"SELECT doc_id, ordinal, rule, concat('sha256:', substr(sha256(concat('palimpsest', original)), 1, 12)) AS original FROM ({sql_matches(STRICT, 'documents', 'doc_id')})")
 def audit_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return match_records(spark, sf_dir).select("doc_id", "ordinal", "rule", columns.redacted(F.col("original"), "scrubber").alias("original"))
+    return match_records(spark, sf_dir).select("doc_id", "ordinal", "rule", columns.redacted(F.col("original"), "palimpsest").alias("original"))
 
 
 @query("rule_info", "SELECT * FROM (VALUES " + ", ".join(f"({quoted(k)}, {quoted(t)}, {quoted(v)})" for k, t, v in TERMS.info()) + ") AS t(kind, text, label)")

@@ -34,7 +34,7 @@ class Service:
     policies: str | None = None
     limits: walk.Limits = walk.Limits()
     audit: str = "counts"
-    salt: str = "scrubber"
+    salt: str = "palimpsest"
     most_bytes: int | None = None
     archive: str | None = None
     cancelled: set[str] = field(default_factory=set)
