@@ -117,6 +117,11 @@ def report_json(files: DataFrame, summaries: DataFrame, audit: str = "full", sal
     return both.select("object_key", F.to_json(F.struct(F.col("object_key").alias("source"), "files", "summary"), {"pretty": "true"}).alias("report"))
 
 
+def progress(files: DataFrame) -> DataFrame:
+    """What a watcher of the run may see of a file: never its matches."""
+    return files.select("path", "status", "detail", "bytes_in", "bytes_out")
+
+
 def breakdown(counts: DataFrame, rule: str = "rule", n: str = "n") -> DataFrame:
     """Lines of a rule breakdown, the most frequent first, then by rule."""
     place = F.row_number().over(Window.orderBy(F.desc(n), rule))

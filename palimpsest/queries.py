@@ -515,3 +515,39 @@ def detect_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return objects.select(formats.detect_column(F.col("content")).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
 
 
+
+
+VERDICTS = ("complete", "incomplete", "incomplete-risky")
+
+
+@query("reason_counts_seeded", "SELECT s AS reason, (SELECT count(*) FROM " + SQL_FILES + " f WHERE f.reason = s) AS n FROM (VALUES " + ", ".join(f"({quoted(s)})" for s in walk.REASONS) + ") AS t(s)")
+def reason_counts_seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return queueing.seeded_counts(document_files(spark, sf_dir), "reason", list(walk.REASONS))
+
+
+@query("verdict_counts_seeded", f"SELECT s AS verdict, (SELECT count(*) FROM ({SQL_SUMMARY}) f WHERE f.verdict = s) AS n FROM (VALUES " + ", ".join(f"({quoted(s)})" for s in VERDICTS) + ") AS t(s)")
+def verdict_counts_seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return queueing.seeded_counts(summary_by_source(spark, sf_dir), "verdict", list(VERDICTS))
+
+
+@query("digest_by_source", f"SELECT object_key, verdict, files_total, files_scrubbed, files_not_inspected, files_binary_skipped, files_passthrough, total_matches, residual_hits FROM ({SQL_SUMMARY})")
+def digest_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summary_by_source(spark, sf_dir).select("object_key", "verdict", "files_total", "files_scrubbed", "files_not_inspected", "files_binary_skipped", "files_passthrough", "total_matches", "residual_hits")
+
+
+@query("progress", f"SELECT 'file-' || seq AS path, status, CASE WHEN reason IS NULL THEN 'utf-8' ELSE 'not looked at' END AS detail, bytes_in, bytes_out FROM {SQL_FILES}")
+def progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.progress(document_files(spark, sf_dir))
+
+
+@query("queue_snapshot", f"SELECT object_key FROM {SQL_QUEUE} ORDER BY \"at\", object_key LIMIT {queueing.SNAPSHOT}")
+def queue_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return queueing.snapshot(eligible_keys(spark, sf_dir).withColumnRenamed("last_modified", "at")).select("object_key")
+
+
+@query("throughput_windows", "SELECT date_trunc('hour', ts) AS start, event_type AS verdict, count(*) AS jobs, sum(CAST(floor(value) AS BIGINT)) AS bytes_in FROM events GROUP BY ALL")
+def throughput_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palimpsest.streaming import service
+
+    jobs = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("timestamp"), F.col("event_type").alias("verdict"), F.floor("value").cast("long").alias("bytes_in"))
+    return service.throughput(jobs, "1 hour").select(F.col("window.start").cast("timestamp_ntz").alias("start"), "verdict", "jobs", "bytes_in")

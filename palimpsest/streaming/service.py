@@ -3,14 +3,15 @@
 The file source's checkpoint is the queue that survives a restart. Each micro-batch re-reads the policies (a
 bad set leaves the last good one), resolves each object's policy, walks the objects in parallel, writes outputs, reports and
 digests, and only then marks the batch done; all writes are renames of whole files under names that the input decides, so
-a batch that runs again leaves the same files. Cancelled keys are left out at the batch's start; what fails is tried again
-after a back-off, behind all that arrived by then.
+a batch that runs again leaves the same files. Cancelled keys are left out at the batch's start and again before its first
+write; what fails is tried again after a back-off, behind all that arrived by then.
 """
 
 from __future__ import annotations
 
 import hashlib
 import hmac
+import time
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,7 +39,10 @@ class Service:
     most_bytes: int | None = None
     archive: str | None = None
     cancelled: set[str] = field(default_factory=set)
-    attempts: dict[str, int] = field(default_factory=dict)
+    #: Of objects that failed: how often, and when the next try is due.
+    deferred: dict[str, tuple[int, float]] = field(default_factory=dict)
+    running: set[str] = field(default_factory=set)
+    committed: set[str] = field(default_factory=set)
 
     def source(self, spark: SparkSession, per_trigger: int = 1) -> DataFrame:
         """New objects, the earliest first, a few at a time."""
@@ -61,8 +65,17 @@ class Service:
                 return str(e)
         return None
 
-    def cancel(self, key: str) -> None:
+    def cancel(self, spark: SparkSession, key: str) -> str:
+        """withdrawn: it will not be taken; aborting: its walk goes on, and nothing is written of it; too-late: it is out; not-found."""
+        if key in self.committed:
+            return "too-late"
+        if key in self.running:
+            self.cancelled.add(key)
+            return "aborting"
+        if not store.exists(store.listing(spark, self.inbox), key):
+            return "not-found"
         self.cancelled.add(key)
+        return "withdrawn"
 
     def token(self, key: str, secret: bytes) -> str:
         """What allows the cancelling of a key."""
@@ -77,29 +90,51 @@ class Service:
         fresh = queueing.eligible(all_, cancelled=cancelled)
         if self.most_bytes is not None:
             fresh = fresh.where(F.col("size") <= self.most_bytes)
-        sidecars = store.listing(spark, self.inbox, f"*{resolve.SIDECAR}").select("object_key", "content")
-        both = resolve.with_sidecars(fresh.select("object_key", "content").union(sidecars))
-        process(both, self)
+        self.take(fresh.select("object_key", "content"))
+        self.again(spark)
+
+    def take(self, rows: DataFrame) -> None:
+        sidecars = store.listing(rows.sparkSession, self.inbox, f"*{resolve.SIDECAR}").select("object_key", "content")
+        process(resolve.with_sidecars(rows.union(sidecars)), self)
+
+    def again(self, spark: SparkSession, now: float | None = None) -> int:
+        """Another try of what failed and is due, behind all that has arrived; how many."""
+        moment = time.time() if now is None else now
+        due = sorted(k for k, (_, until) in self.deferred.items() if until <= moment and k not in self.cancelled)
+        if due:
+            self.take(store.listing(spark, self.inbox).where(F.col("object_key").isin(due)).select("object_key", "content"))
+        return len(due)
 
 
 def process(rows: DataFrame, service: Service) -> DataFrame:
-    """Walks objects (object_key, content, own_policy) and writes outputs, digests and reports; returns the digests."""
-    registry = service.registry
+    """Walks objects (object_key, content, own_policy) and writes outputs, digests and reports; returns the digests.
+
+    What has been cancelled until the first write goes out in no form. Objects that failed are left for another try.
+    """
+    registry, spark = service.registry, rows.sparkSession
     policy = resolve.longest_prefix(F.col("object_key"), registry.prefixes, registry.default)
     done = walk.walked(rows, registry.policies, registry.default, service.limits, policy, F.col("own_policy")).persist()
     try:
-        files = walk.files(done)
+        service.running = {r[0] for r in rows.select("object_key").collect()}  # a micro-batch has maxFilesPerTrigger of them
+        failed = {r[0] for r in done.where("error is not null").select("object_key").collect()}
+        off = spark.createDataFrame([(k,) for k in sorted(service.cancelled | failed)], "object_key string")
+        good = done.join(F.broadcast(off), "object_key", "left_anti")
+        service.committed |= service.running - service.cancelled - failed
+        files = walk.files(good)
         summaries = report.summary(files).persist()
-        routed = done.join(summaries.select("object_key", "verdict"), "object_key").withColumn("output_key", report.output_key(F.col("object_key"), F.col("verdict")))
+        routed = good.join(summaries.select("object_key", "verdict"), "object_key").withColumn("output_key", report.output_key(F.col("object_key"), F.col("verdict")))
         store.write_objects(routed, service.outbox).count()
         digests = report.digest(summaries)
         store.write_texts(report.report_json(files, summaries, service.audit, service.salt), service.reports, "object_key", "report", ".report.json").count()
         store.write_texts(digests, service.reports, "object_key", "digest", ".summary.json").count()
-        failed = [r[0] for r in done.where("error is not null").select("object_key").limit(queueing.QUEUE_MOST).collect()]
+        for key in service.running - failed:
+            service.deferred.pop(key, None)
         for key in failed:
-            service.attempts[key] = service.attempts.get(key, 0) + 1
+            n = service.deferred.get(key, (0, 0.0))[0] + 1
+            service.deferred[key] = (n, time.time() + min(2 ** min(n, queueing.BACKOFF_DOUBLINGS), queueing.BACKOFF_SECONDS))
         return digests
     finally:
+        service.running = set()
         done.unpersist()
 
 

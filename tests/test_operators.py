@@ -123,6 +123,20 @@ def test_service(spark, tmp_path):
     assert {r["object_key"]: r["verdict"] for r in history.collect()} == {"app.log": "complete", "lux.txt": "incomplete-risky", "x.log": "complete", "secure/s.log": "complete"}
     assert store.full_reports(spark, f"file://{tmp_path}/reports").count() == 4
     assert len(s.token("k", b"s")) == 32 and s.reload() is None
+    assert s.cancel(spark, "app.log") == "too-late" and s.cancel(spark, "gone.log") == "withdrawn" and s.cancel(spark, "no") == "not-found"
+
+
+def test_failed_objects_are_tried_again(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "x.log").write_text(LINE)
+    (tmp_path / "in" / "x.log.terms.json").write_text("{")
+    s = service.Service(f"file://{tmp_path}/in", f"file://{tmp_path}/out", f"file://{tmp_path}/reports", f"file://{tmp_path}/check", Registry({"default": Policy.parse(TERMS)}, "default"))
+    s.start(spark, per_trigger=5, interval=None).awaitTermination(120)
+    assert s.deferred["x.log"][0] == 1 and not (tmp_path / "out" / "x.log").exists()
+    assert s.again(spark, now=0) == 0
+    (tmp_path / "in" / "x.log.terms.json").write_text(TERMS)
+    assert s.again(spark, now=1e12) == 1 and not s.deferred
+    assert "[EMAIL]" in (tmp_path / "out" / "x.log").read_text()
 
 
 def test_throughput(spark):
