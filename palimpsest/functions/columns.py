@@ -1,6 +1,6 @@
 """A policy as Column expressions, for text that lies in tables: all on the JVM, one alternation for all rules.
 
-Rows without a character that every match needs skip the alternation. Rules that can match an empty
+Rows without any of the characters and strings that matches need skip the alternation. Rules that can match an empty
 string go through Python, since the JVM's split treats empty matches in a way of its own.
 """
 
@@ -29,7 +29,7 @@ def spans_and_gaps(text: Column, policy: Policy) -> tuple[Column, Column]:
     spans, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     if need is None:
         return spans, gaps
-    maybe = text.rlike(regex.class_text(need, True))
+    maybe = text.rlike(need.pattern(True))
     return F.when(maybe, spans).when(text.isNotNull(), F.array().cast("array<string>")), F.when(maybe, gaps).when(text.isNotNull(), F.array(text))
 
 

@@ -32,7 +32,7 @@ class Matcher:
         self.combined = re.compile("|".join(f"(?:{regex.for_python(r.pattern)})" for r in policy.rules))
         self.single = [(r, re.compile(regex.for_python(r.pattern))) for r in policy.rules]
         need = policy.needed()
-        self.needed = re.compile(regex.class_text(need, False)) if need else None
+        self.needed = re.compile(need.pattern(False)) if need else None
         self.known: dict[str, tuple[Rule | None, bool]] = {}
 
     def __reduce__(self):

@@ -142,10 +142,15 @@ class Policy:
     def may_match_empty(self) -> bool:
         return any(map(regex.may_be_empty, self.trees))
 
-    def needed(self) -> regex.Ranges | None:
-        """Characters of which a text holds one at least if any rule matches in it; None if there are none such."""
+    def needed(self) -> regex.Need | None:
+        """What a text holds if any rule matches in it; None if nothing is certain."""
         sets = [regex.needed(t) for t in self.trees]
-        return None if None in sets else regex.merged([r for s in sets for r in s])
+        if None in sets:
+            return None
+        out = sets[0]
+        for x in sets[1:]:
+            out = out | x
+        return out
 
     def info(self) -> list[tuple[str, str, str]]:
         """(kind, text, label) of each rule."""

@@ -264,19 +264,58 @@ def may_be_empty(n: Node) -> bool:
     return True
 
 
-def needed(n: Node) -> Ranges | None:
-    """Characters of which every match holds one at least; None if there is no such set."""
+@dataclass(frozen=True)
+class Need:
+    """Of every match: one of these characters or one of these strings at least. weight: how common that is in text, roughly."""
+
+    weight: float
+    ranges: Ranges = ()
+    strings: tuple[str, ...] = ()
+
+    def __or__(self, other: Need) -> Need:
+        return Need(self.weight + other.weight, merged([*self.ranges, *other.ranges]), tuple(dict.fromkeys([*self.strings, *other.strings])))
+
+    def pattern(self, java: bool) -> str:
+        parts = ([class_text(self.ranges, java)] if self.ranges else []) + ["".join(point_text(ord(c), java) for c in x) for x in self.strings]
+        return "|".join(parts)
+
+
+def common(ranges: Ranges) -> float:
+    """How common the characters are, roughly, with a small letter as 1."""
+    total = 0.0
+    for a, b in ranges:
+        for x in range(a, min(b, 127) + 1):
+            c = chr(x)
+            total += 1 if c.islower() or c in ".," else 4 if c == " " else 0.05 if c.isalnum() or c in "-'\n" else 0.01
+        total += 1 if b > 127 else 0
+    return total
+
+
+def needed(n: Node) -> Need | None:
+    """What every match holds; None if nothing is certain."""
     if n.kind == "set":
         out = n.ranges
         if n.fold:
             out = merged([*out, *[(ord(y), ord(y)) for a, b in out if b - a < 512 for x in range(a, b + 1) for y in folds(x)]])
-        return out
+        return Need(common(out), out)
     if n.kind in ("cat", "group"):
-        sets = [s for s in map(needed, n.parts) if s is not None]
-        return min(sets, key=lambda s: sum(b - a + 1 for a, b in s), default=None)
+        found, run = [x for x in map(needed, n.parts) if x is not None], ""
+        for p in [*n.parts, Node("end")]:
+            if p.kind == "set" and not p.fold and len(p.ranges) == 1 and p.ranges[0][0] == p.ranges[0][1]:
+                run += chr(p.ranges[0][0])
+                continue
+            if len(run) > 1:
+                found.append(Need(min(common(((ord(c), ord(c)),)) for c in run) * 0.1 ** (len(run) - 1), (), (run,)))
+            run = ""
+        return min(found, key=lambda x: x.weight, default=None)
     if n.kind == "alt":
         sets = list(map(needed, n.parts))
-        return None if None in sets else merged([r for s in sets for r in s])
+        if None in sets:
+            return None
+        out = sets[0]
+        for x in sets[1:]:
+            out = out | x
+        return out
     if n.kind == "repeat" and n.low:
         return needed(n.parts[0])
     return None

@@ -11,6 +11,7 @@ from palimpsest.functions import columns, formats
 from palimpsest.functions.validators import luhn_column
 from palimpsest.operators import packing, queueing, report, resolve, walk
 from palimpsest.plans.policy import FILE_ENDINGS, PRESETS, Policy
+from palimpsest.runtime import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +28,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str, *names: str) -> DataFrame:
+    """Columns of a table, for the costly part of a query."""
+    return spread(table(spark, sf_dir, name).select(*names))
+
+
 # SQL
 
 
@@ -108,37 +114,37 @@ def query(name: str, sql: str | None = None):
 
 @query("scrub_text_strict", sql_scrub(STRICT, "documents", "doc_id"))
 def scrub_text_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return columns.scrubbed(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", STRICT).drop("text")
+    return columns.scrubbed(texts(spark, sf_dir, "documents", "doc_id", "text"), "text", STRICT).drop("text")
 
 
 @query("scrub_text_terms", sql_scrub(TERMS, "documents", "doc_id"))
 def scrub_text_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return columns.scrubbed(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", TERMS).drop("text")
+    return columns.scrubbed(texts(spark, sf_dir, "documents", "doc_id", "text"), "text", TERMS).drop("text")
 
 
 @query("scrub_pages_strict", sql_scrub(STRICT, "pages", "page_id", "html"))
 def scrub_pages_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return columns.scrubbed(table(spark, sf_dir, "pages").select("page_id", "html"), "html", STRICT).drop("html")
+    return columns.scrubbed(texts(spark, sf_dir, "pages", "page_id", "html"), "html", STRICT).drop("html")
 
 
 @query("scrub_conversations_terms", sql_scrub(TERMS, "conversations", "conv_id, turn, role"))
 def scrub_conversations_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return columns.scrubbed(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"), "text", TERMS).drop("text")
+    return columns.scrubbed(texts(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"), "text", TERMS).drop("text")
 
 
 @query("scrub_text_by_python", sql_scrub(STRICT, "documents", "doc_id"))
 def scrub_text_by_python(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return columns.scrubbed_by_python(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", STRICT, "clean_text", "n_matches").drop("text")
+    return columns.scrubbed_by_python(texts(spark, sf_dir, "documents", "doc_id", "text"), "text", STRICT, "clean_text", "n_matches").drop("text")
 
 
 @query("match_records", sql_matches(STRICT, "documents", "doc_id"))
 def match_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return columns.match_records(table(spark, sf_dir, "documents"), ["doc_id"], "text", STRICT)
+    return columns.match_records(texts(spark, sf_dir, "documents", "doc_id", "text"), ["doc_id"], "text", STRICT)
 
 
 @query("match_records_terms", sql_matches(TERMS, "conversations", "conv_id, turn"))
 def match_records_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return columns.match_records(table(spark, sf_dir, "conversations"), ["conv_id", "turn"], "text", TERMS)
+    return columns.match_records(texts(spark, sf_dir, "conversations", "conv_id", "turn", "text"), ["conv_id", "turn"], "text", TERMS)
 
 
 def add_preset(name: str) -> None:
@@ -147,7 +153,7 @@ def add_preset(name: str) -> None:
 
     @query(f"preset_{name}", sql_scrub(policy, probed, "doc_id"))
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        docs = table(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.lit(PROBE)).alias("text"))
+        docs = texts(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.concat("text", F.lit(PROBE)).alias("text"))
         return columns.scrubbed(docs, "text", policy).drop("text")
 
 
@@ -161,7 +167,7 @@ RUNS = r"[0-9](?:[ -]?[0-9]){11,19}"
 
 @query("luhn_validate", f"SELECT doc_id, span, {sql_luhn('span')} AS ok FROM (SELECT doc_id, unnest(regexp_extract_all(concat(text, {quoted(PROBE)}), {quoted(RUNS)})) AS span FROM documents)")
 def luhn_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all(F.concat("text", F.lit(PROBE)), F.lit(RUNS), F.lit(0))).alias("span"))
+    docs = texts(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.explode(F.regexp_extract_all(F.concat("text", F.lit(PROBE)), F.lit(RUNS), F.lit(0))).alias("span"))
     return docs.withColumn("ok", luhn_column(F.col("span")))
 
 
@@ -182,7 +188,7 @@ def rule_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as the files of bundles, which their sources are; short Spanish ones stand for what can't be inspected."""
-    rows = columns.scrubbed(table(spark, sf_dir, "documents"), "text", TERMS)
+    rows = columns.scrubbed(texts(spark, sf_dir, "documents", "doc_id", "source", "lang", "n_chars", "text"), "text", TERMS)
     hole = (F.col("lang") == "es") & (F.col("n_chars") < 400)
     reason = F.when(hole, F.when(F.col("n_chars") < 200, "binary").otherwise("member-cap"))
     status = F.when(hole & (F.col("n_chars") < 200), "binary-skipped").when(hole, "guard-tripped").when(F.col("n_matches") > 0, "scrubbed").otherwise("unchanged")
@@ -437,12 +443,12 @@ LEAD = "2026-06-12T09:00:00Z INFO "
 
 
 def walked_texts(spark: SparkSession, sf_dir: str, encoding: str = "utf-8", layers: tuple[str, ...] = ()) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit(LEAD), "text").alias("text"))
+    docs = texts(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.concat(F.lit(LEAD), "text").alias("text"))
     objects = packing.encoded(docs, "doc_id", "text", encoding, layers)
     done = walk.walked(objects, {"strict": STRICT}, "strict")
-    texts = packing.unbundled(done)
+    leaves = packing.unbundled(done)
     counts = walk.files(done).groupBy("object_key").agg(F.sum("match_count").alias("n_matches"))
-    return texts.join(counts, "object_key").select(F.col("object_key").cast("long").alias("doc_id"), F.col("text").alias("clean_text"), "n_matches")
+    return leaves.join(counts, "object_key").select(F.col("object_key").cast("long").alias("doc_id"), F.col("text").alias("clean_text"), "n_matches")
 
 
 def add_walked(name: str, encoding: str = "utf-8", layers: tuple[str, ...] = ()) -> None:
@@ -474,13 +480,13 @@ add_bundled("arch_zip", "zip")
 
 @query("walk_files", f"SELECT CAST(doc_id AS VARCHAR) AS path, CASE WHEN n_matches > 0 THEN 'scrubbed' ELSE 'unchanged' END AS status, strlen(text) AS bytes_in, strlen(clean_text) AS bytes_out, n_matches AS match_count FROM documents JOIN ({sql_scrub(STRICT, 'documents', 'doc_id')}) USING (doc_id)")
 def walk_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    objects = packing.encoded(table(spark, sf_dir, "documents"), "doc_id", "text", "utf-8")
+    objects = packing.encoded(texts(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text", "utf-8")
     return walk.files(walk.walked(objects, {"strict": STRICT}, "strict")).select("path", "status", "bytes_in", "bytes_out", "match_count")
 
 
 @query("walk_matches", sql_matches(STRICT, "documents", "doc_id"))
 def walk_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    objects = packing.encoded(table(spark, sf_dir, "documents"), "doc_id", "text", "utf-8")
+    objects = packing.encoded(texts(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text", "utf-8")
     each = walk.files(walk.walked(objects, {"strict": STRICT}, "strict")).select(F.col("object_key").cast("long").alias("doc_id"), F.posexplode("matches").alias("i", "m"))
     return each.select("doc_id", (F.col("i") + 1).cast("long").alias("ordinal"), "m.rule", F.col("m.line").cast("long").alias("line"), "m.offset", "m.original", "m.replacement")
 
@@ -495,7 +501,7 @@ def add_residual(name: str, encoding: str) -> None:
 
     @query(name, sql_residual("text"))
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        objects = packing.encoded(table(spark, sf_dir, "documents"), "doc_id", "text", encoding)
+        objects = packing.encoded(texts(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text", encoding)
         head = F.lit(bytearray(formats.SIGNATURES[6][1] + b"\0\0")) if encoding == "utf-8" else F.lit(bytearray(formats.SIGNATURES[6][1] + b"\1\1"))
         done = walk.walked(objects.withColumn("content", F.concat(head, "content")), {"strict": STRICT}, "strict")
         f = walk.files(done)
@@ -507,7 +513,7 @@ add_residual("residual_utf8", "utf-8")
 
 @query("detect_formats", "SELECT kind, count(*) AS n FROM (SELECT unnest(['', 'gzip', 'tar', 'xz', 'zip', 'zlib', 'zstd']) AS kind FROM documents) GROUP BY kind")
 def detect_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("#"), "text").alias("text"))
+    docs = texts(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.concat(F.lit("#"), "text").alias("text"))
     one = lambda *layers: packing.encoded(docs, "doc_id", "text", "utf-8", layers)
     objects = one()
     for k in ("gzip", "tar", "xz", "zip", "zlib", "zstd"):

@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: What the engine asks of a session that it makes itself.
 SETTINGS = {
@@ -38,3 +38,9 @@ def ship(spark: SparkSession) -> None:
             z.write(p, f"{root.name}/{p.relative_to(root)}")
     sc.addPyFile(path)
     sc._palimpsest_shipped = True
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, if its input has fewer parts than there are: for costly work on few small files. A large input is left as it lies."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
