@@ -43,6 +43,16 @@ def byte_symbols() -> list[str]:
     return out
 
 
+def piece_pattern(spec: dict) -> regex.Pattern:
+    """What a tokenizer file cuts texts into."""
+    return regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}"))
+
+
+def normal(text: str) -> str:
+    """Normal form C, then lower case character by character."""
+    return text.lower() if text.isascii() else "".join(map(str.lower, unicodedata.normalize("NFC", text)))
+
+
 class Vocabulary:
     """What a tokenizer file states, and the encoding of pieces and words by it."""
 
@@ -58,8 +68,7 @@ class Vocabulary:
         self.merges: dict[tuple[int, int], tuple[int, int]] = {}
         for rank, (a, b) in enumerate(model["merges"]):
             self.merges[ids[a], ids[b]] = (rank, ids[a + b])
-        split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.piece = regex.compile(split.replace(r"\s", r"\p{White_Space}"))
+        self.piece = piece_pattern(spec)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.pieces: dict[str, tuple[int, ...]] = {}
 
@@ -109,17 +118,13 @@ class Vocabulary:
             return m[0] << 32 | i
         return 1 << 62
 
-    def normal(self, text: str) -> str:
-        """Normal form C, then lower case character by character."""
-        return text.lower() if text.isascii() else "".join(map(str.lower, unicodedata.normalize("NFC", text)))
-
     def encode_word(self, word: str) -> list[int]:
         out: list[int] = []
         for part in self.specials.split(word) if "<" in word else (word,):
             if (i := self.special.get(part)) is not None:
                 out.append(i)
                 continue
-            for p in self.piece.findall(self.normal(part)):
+            for p in self.piece.findall(normal(part)):
                 if (got := self.pieces.get(p)) is None:
                     got = tuple(self.merge(p.encode()))
                     if len(p) <= CACHE_BYTES:

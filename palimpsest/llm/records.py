@@ -17,33 +17,30 @@ gives no rows; other columns are left out whatever their names.
 
 from __future__ import annotations
 
+import json
 import os
-import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs as afs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.llm import bpe
 from palimpsest.llm.common import by_batch, cut, shared_dir, text_or_empty, word_lists
+from palimpsest.sources.objects import store
 
 CACHE_WORDS, CACHE_BYTES = 300_000, 64
 MASK = 0xA282EAD8
 HEAD, FOOT, PAYLOAD, ENTRY = struct.Struct("<QI"), struct.Struct("<I"), struct.Struct("<BqB"), struct.Struct("<QQ")
 #: Rows of the table that make one file, so that a file stays some tens of MB.
 FILE_ROWS = 8192
-#: What an ASCII word is cut into, once in lower case; pieces of other words are left to the library.
-PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
-PLAIN = re.compile(rb"[!-~]+")
-
-
 def masked(data: bytes) -> int:
     crc = zlib.crc32(data)
     return ((crc >> 15 | crc << 17) + MASK) & 0xFFFFFFFF
@@ -82,9 +79,9 @@ def unpacked(payload: bytes) -> tuple[int | None, np.ndarray]:
 class Encoder(dict):
     """The ids of each word met as the library gives them, little-endian, in two generations of bounded size.
 
-    The file's rules never look across ASCII white space, so a text's ids are those of its words. Words
-    of printable ASCII are cut into pieces here and each piece goes to the library's model; all others
-    go through the library whole.
+    The file's rules never look across ASCII white space, so a text's ids are those of its words. A word is
+    put in normal form and cut into pieces here, and the library's model encodes each piece that is new; words with a special
+    token go through the library whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -95,18 +92,23 @@ class Encoder(dict):
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.model, self.width = self.tokenizer.model, 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.cut, self.special = bpe.piece_pattern(spec), [t["content"] for t in spec["added_tokens"]]
+        self.symbols = dict(enumerate(bpe.byte_symbols()))
 
     def packed(self, ids: list[int]) -> bytes:
-        return np.array(ids, f"<u{self.width}").tobytes()
+        return array("H" if self.width == 2 else "I", ids).tobytes()
 
     def encoded(self, word: bytes) -> bytes:
         text = word.decode()
-        if not PLAIN.fullmatch(word) or "<|" in text:
+        if "<" in text and any(t in text for t in self.special):
             return self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
         out = []
-        for piece in PIECE.findall(text.lower()):
+        for piece in self.cut.findall(bpe.normal(text)):
             if (got := self.pieces.get(piece)) is None:
-                got = self.packed([t.id for t in self.model.tokenize(piece)])
+                symbols = piece.encode().decode("latin-1").translate(self.symbols)
+                got = self.packed([t.id for t in self.model.tokenize(symbols)])
                 if len(piece) <= CACHE_BYTES:
                     if len(self.pieces) >= CACHE_WORDS:
                         self.pieces.clear()
@@ -134,13 +136,6 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def store(uri: str) -> tuple[afs.FileSystem, str]:
-    """The file system of a path or URI, and the path within it."""
-    if re.match("file:", uri):
-        return afs.LocalFileSystem(), re.sub("^file:/*", "/", uri)
-    return afs.FileSystem.from_uri(uri) if "://" in uri else (afs.LocalFileSystem(), uri)
-
-
 def write(docs: DataFrame, path: str, folder: str, end_id: int | None = 2, file_rows: int = FILE_ROWS) -> DataFrame:
     """Writes the files, and returns file, docs, ids: what each holds, a row a file."""
     n = max(1, -(-docs.count() // file_rows))
