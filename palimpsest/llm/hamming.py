@@ -29,7 +29,9 @@ from pyspark.sql import functions as F
 from palimpsest.llm.common import cut
 from palimpsest.runtime import ship
 
-BITS, SHARD_ROWS, BLOCK_ROWS = 64, 16_384, 8_192
+BITS, SHARD_ROWS, BLOCK_ROWS = 64, 4_096, 8_192
+#: Partitions of the pairs at most; beyond, a task has several.
+MOST_PARTS = 20_000
 
 
 def code_of(embedding: Column, bits: int = BITS) -> Column:
@@ -109,6 +111,9 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, bits: int = BITS, sh
                 out += [(query, own, d, i) for d, i in index.nearest(code, own, k)]
         return pd.DataFrame(out, columns=["query", "query_id", "distance", "vec_id"]).astype("int64")
 
+    # numbers of one's own: small as the rows are, each pair is much work, and partitions are not to be put together
+    n = min(shards * blocks, MOST_PARTS)
+    left, right = (df.repartition(n, "shard", "block") for df in (left, right))
     found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(search, "query long, query_id long, distance long, vec_id long")
     rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "distance")
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("long").alias("rank"), "vec_id", "distance")
