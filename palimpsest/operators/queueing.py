@@ -33,7 +33,8 @@ def eligible(objects: DataFrame, cancelled: DataFrame | None = None, deferred: D
 def due(objects: DataFrame, attempts: DataFrame) -> DataFrame:
     """objects with at: when they arrived or, after a failed try, when their back-off ends."""
     out = objects.join(attempts.select("object_key", "attempts", "defer_until"), "object_key", "left")
-    return out.withColumn("at", F.when(F.coalesce("attempts", F.lit(0)) > 0, F.coalesce("defer_until", F.current_timestamp())).otherwise(F.col("last_modified"))).drop("attempts", "defer_until")
+    now = F.current_timestamp().cast(objects.schema["last_modified"].dataType)
+    return out.withColumn("at", F.when(F.coalesce("attempts", F.lit(0)) > 0, F.coalesce("defer_until", now)).otherwise(F.col("last_modified"))).drop("attempts", "defer_until")
 
 
 def without_inflight(queue: DataFrame, inflight: DataFrame) -> DataFrame:

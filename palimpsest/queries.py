@@ -365,7 +365,7 @@ def queue_position(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("queue_cap", f"SELECT object_key, \"at\", (SELECT greatest(count(*) - 500, 0) FROM {SQL_QUEUE}) AS dropped FROM {SQL_QUEUE} ORDER BY \"at\", object_key LIMIT 500")
 def queue_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept, dropped = queueing.synced(eligible_keys(spark, sf_dir).withColumnRenamed("last_modified", "at"), 500)
-    return kept.withColumn("dropped", F.lit(dropped.first()["dropped"]))
+    return kept.withColumn("dropped", F.lit(dropped.first()["dropped"]).cast("long"))
 
 
 @query("retry_order", f"SELECT object_key, CASE WHEN event_type = 'error' THEN last_modified + INTERVAL 1 HOUR ELSE last_modified END AS \"at\" FROM {SQL_OBJECTS}")
@@ -551,7 +551,7 @@ def queue_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queueing.snapshot(eligible_keys(spark, sf_dir).withColumnRenamed("last_modified", "at")).select("object_key")
 
 
-@query("throughput_windows", "SELECT date_trunc('hour', ts) AS start, event_type AS verdict, count(*) AS jobs, sum(CAST(floor(value) AS BIGINT)) AS bytes_in FROM events GROUP BY ALL")
+@query("throughput_windows", "SELECT date_trunc('hour', ts) AS start, event_type AS verdict, count(*) AS jobs, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS bytes_in FROM events GROUP BY ALL")
 def throughput_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palimpsest.streaming import service
 
