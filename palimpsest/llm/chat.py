@@ -45,7 +45,7 @@ def calls_of(messages: DataFrame) -> DataFrame:
 
 
 def results_of(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, call_id, _content of each result; one row a result, repeated messages once."""
+    """conv_id, turn, call_id of each result; one row a result, repeated messages once."""
     own = messages.where("role = 'tool'").select("conv_id", "turn", F.try_parse_json("text").alias("_r")).select("conv_id", "turn", F.try_variant_get("_r", "$.tool_call_id", "string").alias("call_id"))
     return own.distinct()
 
@@ -115,18 +115,23 @@ def formatted(messages: DataFrame, schemas: Schemas | None = None, block_turns:
     per_turn = validated(calls, schemas or {}).groupBy("conv_id", "turn").agg(F.count_if(bad).alias("_bad")).select(F.col("conv_id").alias("_c"), F.col("turn").alias("_t"), "_bad")
     results = results.select(F.col("conv_id").alias("_rc"), F.col("turn").alias("_rt"), F.col("call_id").alias("_id"), "status", "call_turn")
     own_id = F.when(F.col("role") == "tool", F.coalesce(F.try_variant_get(F.try_parse_json("text"), "$.tool_call_id", "string"), F.lit("")))
-    m = m.withColumns({"_calls": call_texts(), "_own": own_id})
-    m = m.join(per_turn, F.col("conv_id").eqNullSafe(F.col("_c")) & F.col("turn").eqNullSafe(F.col("_t")) & (F.size("_calls") > 0), "left")
-    m = m.join(results, F.col("conv_id").eqNullSafe(F.col("_rc")) & F.col("turn").eqNullSafe(F.col("_rt")) & (F.col("_own") == F.coalesce("_id", F.lit(""))), "left")
+    # a null conversation is one, so its key is two columns that are never null
+    m = m.withColumns({"_calls": call_texts(), "_own": own_id, "_none": F.col("conv_id").isNull(), "_conv": F.coalesce("conv_id", F.lit(0))})
+    # only messages with calls, and results, meet the links; all others are not moved for them
+    linked_ = (F.size("_calls") > 0) | F.coalesce(F.col("role") == "tool", F.lit(False))
+    some = m.where(linked_).join(per_turn, F.col("conv_id").eqNullSafe(F.col("_c")) & F.col("turn").eqNullSafe(F.col("_t")) & (F.size("_calls") > 0), "left")
+    some = some.join(results, F.col("conv_id").eqNullSafe(F.col("_rc")) & F.col("turn").eqNullSafe(F.col("_rt")) & (F.col("_own") == F.coalesce("_id", F.lit(""))), "left")
+    m = some.drop("_c", "_t", "_rc", "_rt", "_id").unionByName(m.where(~linked_), allowMissingColumns=True)
     late = (F.col("status") == "linked") & (F.col("call_turn") > F.col("turn"))
     m = m.withColumns({"_turn": F.when(late, F.col("call_turn")).otherwise(F.col("turn")), "_step": F.when(late, 1).otherwise(0)})
     m = m.withColumn("_block", F.coalesce(F.floor(F.col("_turn") / block_turns), F.lit(1 << 52)))
     # a position: the rows of the conversation's blocks before, and then the row's place in its block
-    blocks = m.groupBy("conv_id", "_block").agg(F.count("*").alias("_rows"))
-    before = F.coalesce(F.sum("_rows").over(Window.partitionBy("conv_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    blocks = blocks.select(F.col("conv_id").alias("_bc"), F.col("_block").alias("_bb"), before.alias("_before"))
-    place = F.row_number().over(Window.partitionBy("conv_id", "_block").orderBy(F.asc_nulls_last("_turn"), "_step", F.asc_nulls_last("turn"), F.asc_nulls_last("role"), F.xxhash64("text"), "text"))
-    m = m.withColumn("_place", place).join(blocks, F.col("conv_id").eqNullSafe(F.col("_bc")) & (F.col("_block") == F.col("_bb")))
+    of = ["_none", "_conv", "_block"]
+    blocks = m.groupBy(*of).agg(F.count("*").alias("_rows"))
+    before = F.coalesce(F.sum("_rows").over(Window.partitionBy("_none", "_conv").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.select(*of, before.alias("_before"))
+    place = F.row_number().over(Window.partitionBy(*of).orderBy(F.asc_nulls_last("_turn"), "_step", F.asc_nulls_last("turn"), F.asc_nulls_last("role"), F.xxhash64("text"), "text"))
+    m = m.withColumn("_place", place).join(blocks, of)
     return m.select(
         "conv_id",
         (F.col("_before") + F.col("_place")).cast("long").alias("position"),
