@@ -92,8 +92,9 @@ def scrubbed_by_python(df: DataFrame, text: str, policy: Policy, out: str, count
 def match_records(df: DataFrame, key: list[str], text: str, policy: Policy) -> DataFrame:
     """key, ordinal, rule, line, offset (in bytes of UTF-8), original, replacement: a row a match, in document order within a key."""
     ids, labels = [r.id for r in policy.rules], [policy.replacement(r) for r in policy.rules]
-    rows = inspected(df.select(*key, text), text, policy).where(F.size("_spans") > 0)
-    each = rows.select(*key, F.posexplode(F.arrays_zip(F.col("_spans").alias("s"), F.slice("_gaps", 1, F.size("_spans")).alias("g"))).alias("_at", "_z"))
+    rows = inspected(df.select(*key, text), text, policy)
+    # an outer explode: Spark would push the test of an inner one, and with it the alternation, below a repartition
+    each = rows.select(*key, F.posexplode_outer(F.arrays_zip(F.col("_spans").alias("s"), F.slice("_gaps", 1, F.size("_spans")).alias("g"))).alias("_at", "_z")).where(F.col("_z").isNotNull())
     newlines = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
     span, gap = F.col("_z.s.span"), F.col("_z.g")
     order = Window.partitionBy(*key).orderBy("_at")
