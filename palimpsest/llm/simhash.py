@@ -18,8 +18,9 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import by_batch, cut, text_or_empty, word_lists
@@ -123,9 +124,12 @@ def segments(n: int, bits: int = BITS) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(at, at[1:], strict=False)]
 
 
-def split_shards(keyed: DataFrame, tree_size: int) -> DataFrame:
-    """keyed (shard, node, code) with tree and guest: a shard above tree_size is several trees, and a member goes to its own and, as a guest, to those after it."""
-    hot = keyed.groupBy("shard").count().where(F.col("count") > tree_size).select("shard", F.ceil(F.col("count") / tree_size).cast("int").alias("trees"))
+def split_shards(keyed: DataFrame, tree_size: int, tree_bytes: int | None = None) -> DataFrame:
+    """keyed (shard, node, code) with tree and guest: a shard above tree_size, or whose `size` adds up to more than tree_bytes, is several trees, and a member goes to its own and, as a guest, to those after it."""
+    trees = F.ceil(F.count("*") / tree_size)
+    if tree_bytes:
+        trees = F.greatest(trees, F.ceil(F.sum("size") / tree_bytes))
+    hot = keyed.groupBy("shard").agg(trees.cast("int").alias("trees")).where("trees > 1")
     dealt = keyed.join(hot, "shard", "left").withColumn("trees", F.coalesce("trees", F.lit(1)))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("trees")).cast("int"))
     dealt = dealt.select("shard", F.explode(F.sequence("own", F.col("trees") - 1)).alias("tree"), "own", "node", "code")
@@ -204,6 +208,22 @@ def scattered(x: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def shingle_set(text: bytes, width: int, seed: int = SEED) -> np.ndarray:
+    """The hashes of the text's different word shingles, in order."""
+    lists = enumerate(word_lists(text.lower(), width - 1))
+    return np.unique(np.concatenate([shingle_hashes(some, width, seed) for k, some in lists if not k or len(some) >= width]))
+
+
+def alike(a: np.ndarray, b: np.ndarray, likeness: float) -> bool:
+    """Whether the Jaccard likeness of two ordered sets is `likeness` or more."""
+    small, large = sorted((len(a), len(b)))
+    if not small or small / large < likeness:
+        return False
+    both = np.sort(np.concatenate([a, b]), kind="stable")
+    common = int(np.count_nonzero(both[1:] == both[:-1]))
+    return common / (small + large - common) >= likeness
+
+
 def wide_simhash(text: bytes, width: int, words: int = WIDE_WORDS, bands: tuple[int, int] = BANDS, seed: int = SEED) -> tuple[bytes, list[int], int]:
     """A fingerprint of 64 bits a word, the band keys, and a hash of the text's words; the bands of one text differ from each other."""
     ones, n, n_min = np.zeros(64 * words, np.int64), 0, bands[0] * bands[1]
@@ -232,22 +252,77 @@ def radius_of(likeness: float, bits: int, slack: float = 1.6) -> int:
     return int(bits * p + slack * (bits * p * (1 - p)) ** 0.5)
 
 
+#: Bytes of text that a tree holds, if that is more than one.
+TREE_BYTES = 64 << 20
+
+
+def alike_links(dealt: DataFrame, radius: int, width: int, likeness: float, seed: int = SEED) -> DataFrame:
+    """Pairs (a, b) of nodes of one tree whose texts' shingles are alike: the tree's codes within the radius are candidates, and each pair is checked before it joins the tree's spanning forest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, tree, forest, nodes_of, kept = None, BKTree(), Forest(), {}, {}
+
+        def of(x: int) -> np.ndarray:
+            if isinstance(kept[x], bytes):
+                kept[x] = shingle_set(kept[x], width, seed)
+            return kept[x]
+
+        for b in batches:
+            a_col, b_col = [], []
+            for shard, k, guest, node, code, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                value = int.from_bytes(code)
+                if (shard, k) != at:
+                    at, tree, forest, nodes_of, kept = (shard, k), BKTree(), Forest(), {}, {}
+                kept[node] = text.encode()
+                first = None
+                for x in (x for v in tree.near(value, radius) for x in nodes_of[v]):
+                    if first is not None and forest.find(x) == forest.find(first) or not alike(of(node), of(x), likeness):
+                        continue
+                    if first is None:
+                        first = x
+                    forest.join(first, x)
+                    a_col.append(node)
+                    b_col.append(x)
+                if guest:  # not kept: the forest holds members of the tree only
+                    del kept[node]
+                    continue
+                if first is not None:
+                    forest.join(first, node)
+                tree.add(value)
+                nodes_of.setdefault(value, []).append(node)
+            if a_col:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (a_col, b_col)], ["a", "b"])
+
+    dealt = dealt.select("shard", "tree", "guest", "node", "code", "text").repartition("shard", "tree")
+    return by_batch(dealt.sortWithinPartitions("shard", "tree", "guest", "node"), run, "a long, b long")
+
+
+def text_hash() -> Column:
+    return F.xxhash64(text_or_empty()).alias("text_hash")
+
+
 def near_texts(docs: DataFrame, width: int = 5, likeness: float = 0.8, words: int = WIDE_WORDS, bands: tuple[int, int] = BANDS, tree_size: int = 4096, seed: int = SEED) -> DataFrame:
-    """doc_id, component_id: documents whose shingles are alike by at least `likeness`, as wide fingerprints tell it.
+    """doc_id, component_id: documents whose sets of shingles are alike by `likeness` or more, pair by pair, and what such pairs connect.
 
     At such a radius no segment of a fingerprint need be equal, so the shards are bands of min-hashes of the shingles: two texts
     share a band with a chance of likeness ** min-hashes a band each, and at 0.8 miss all 10 bands of 2 four times in 100,000.
+    Only members of shards of two or more have their texts read again, for the check of the candidates.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [wide_simhash(t.as_buffer().to_pybytes(), width, words, bands, seed) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[2] for g in got], pa.int64()), pa.array([g[0] for g in got], pa.binary()), pa.array([g[1] for g in got], pa.list_(pa.int64()))], ["doc_id", "node", "code", "bands"])
+            got = [wide_simhash(t.as_buffer().to_pybytes(), width, words, bands, seed) for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pc.binary_length(b.column(2)), pa.array([g[2] for g in got], pa.int64()), pa.array([g[0] for g in got], pa.binary()), pa.array([g[1] for g in got], pa.list_(pa.int64()))], ["doc_id", "text_hash", "size", "node", "code", "bands"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = cut(by_batch(docs.select("doc_id", text_or_empty()), run, f"doc_id {kind}, node long, code binary, bands array<long>"))
-    texts = cut(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("code").alias("code"), F.min("bands").alias("bands")))
-    pairs = tree_links(texts.select(F.explode("bands").alias("shard"), "node", "code"), radius_of(likeness, 64 * words), tree_size)
+    rows = cut(by_batch(docs.select("doc_id", text_hash(), text_or_empty()), run, f"doc_id {kind}, text_hash long, size int, node long, code binary, bands array<long>"))
+    one = F.min(F.struct("text_hash", "size")).alias("one")
+    texts = cut(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("code").alias("code"), F.min("bands").alias("bands"), one).select("node", "first", "code", "bands", "one.*"))
+    keyed = texts.select(F.explode("bands").alias("shard"), "node", "code", "size", "text_hash")
+    keyed = cut(keyed.join(keyed.groupBy("shard").count().where("count > 1").select("shard"), "shard"))
+    bodies = docs.select(text_hash(), text_or_empty()).groupBy("text_hash").agg(F.first("text").alias("text"))
+    bodies = bodies.join(keyed.select("text_hash", "node").distinct(), "text_hash").select("node", "text")
+    pairs = alike_links(split_shards(keyed, tree_size, TREE_BYTES).join(bodies, "node"), radius_of(likeness, 64 * words), width, likeness, seed)
     return in_components(rows.select("doc_id", F.col("node").alias("fp")), texts.select(F.col("node").alias("fp"), "first"), pairs).select("doc_id", "component_id")
 
 

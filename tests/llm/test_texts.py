@@ -194,6 +194,33 @@ def test_near_texts(spark, odd, none):
     assert left.columns == odd.columns and [r["doc_id"] for r in left.orderBy("doc_id").collect()].count(6) == 1
 
 
+def brute_shingles(text, width=5):
+    words = text.lower().split()
+    return {tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))}
+
+
+def brute_likeness(a, b):
+    a, b = brute_shingles(a), brute_shingles(b)
+    return len(a & b) / len(a | b)
+
+
+def test_near_texts_are_checked_by_their_shingles(spark):
+    """Pairs from 0.6 to 0.95, most of them within the radius: of them just those at 0.8 or more may be linked."""
+    rnd = random.Random(7)
+    texts = []
+    for g in range(60):
+        common = [f"c{g}x{i}" for i in range(rnd.randrange(200, 400))]
+        own = int(len(common) * (1 / (0.6 + 0.35 * g / 59) - 1) / 2)
+        texts += [" ".join(common + [f"{s}{g}x{i}" for i in range(own)]) for s in "ab"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for size in (4096, 8):
+        got = {r["doc_id"]: r["component_id"] for r in simhash.near_texts(df, tree_size=size).collect()}
+        near = {i: brute_likeness(texts[i - i % 2], texts[i - i % 2 + 1]) for i in range(120)}
+        below, above = ([i for i in near if near[i] < 0.8], [i for i in near if near[i] > 0.87])
+        assert len(below) > 40 and {i: got[i] for i in below} == {i: i for i in below}
+        assert len(above) > 20 and {i: got[i] for i in above} == {i: i - i % 2 for i in above}
+
+
 # op 7
 
 
