@@ -221,6 +221,23 @@ def test_near_texts_are_checked_by_their_shingles(spark):
         assert len(above) > 20 and {i: got[i] for i in above} == {i: i - i % 2 for i in above}
 
 
+def test_pairs_at_the_likeness_are_found(spark):
+    """Short texts, texts at just 0.8, and a copy with a line that it repeats."""
+    rnd = random.Random(8)
+    word = lambda: f"{rnd.getrandbits(40):x}"
+    texts = []
+    for fewer, more in [(4, 5), (6, 7), (12, 15), (240, 300)] * 10:
+        text = [word() for _ in range(more + 4)]
+        texts += [text[: fewer + 4], text]
+    for _ in range(10):
+        text = [word() for _ in range(204)]
+        texts += [text, text + text[:12] * 49]
+    texts = [" ".join(t) for t in texts]
+    assert all(brute_likeness(a, b) >= 0.8 for a, b in zip(texts[::2], texts[1::2]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in simhash.near_texts(df).collect()} == {i: i - i % 2 for i in range(100)}
+
+
 # op 7
 
 
