@@ -322,7 +322,7 @@ def text_hash() -> Column:
 
 
 def near_texts(docs: DataFrame, width: int = 5, likeness: float = 0.8, words: int = WIDE_WORDS, bands: tuple[int, int] = BANDS, tree_size: int = 4096, seed: int = SEED) -> DataFrame:
-    """doc_id, component_id: documents whose sets of shingles are alike by `likeness` or more, pair by pair, and what such pairs connect.
+    """doc_id, component_id, and what keep_one needs, root (a node of the component) and text_hash: documents whose sets of shingles are alike by `likeness` or more, pair by pair, and what such pairs connect.
 
     At such a radius no segment of a fingerprint need be equal, so the shards are bands of min-hashes of the shingles: two texts
     share a band with a chance of likeness ** min-hashes a band each, and at 0.8 miss all 10 bands of 2 four times in 100,000.
@@ -343,21 +343,25 @@ def near_texts(docs: DataFrame, width: int = 5, likeness: float = 0.8, words: in
     bodies = docs.select(text_hash(), text_or_empty()).groupBy("text_hash").agg(F.first("text").alias("text"))
     bodies = bodies.join(keyed.select("text_hash", "node").distinct(), "text_hash").select("node", "text")
     pairs = alike_links(split_shards(keyed, tree_size, TREE_BYTES).join(bodies, "node"), radius_of(likeness, 64 * words), width, likeness, seed)
-    return in_components(rows.select("doc_id", F.col("node").alias("fp")), texts.select(F.col("node").alias("fp"), "first"), pairs).select("doc_id", "component_id")
+    found = in_components(rows.select("doc_id", "text_hash", F.col("node").alias("fp")), texts.select(F.col("node").alias("fp"), "first"), pairs)
+    return found.select("doc_id", "component_id", "root", "text_hash")
 
 
 def in_components(rows: DataFrame, groups: DataFrame, pairs: DataFrame) -> DataFrame:
-    """rows (doc_id, fp) with component_id. groups: fp, first (its smallest doc_id)."""
+    """rows (doc_id, fp) with component_id and root, a node. groups: fp, first (its smallest doc_id)."""
     roots = components(pairs).withColumnsRenamed({"node": "fp"})
     groups = groups.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = groups.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rows.join(groups.join(least, "root").select("fp", "component_id"), "fp")
+    return rows.join(groups.join(least, "root").select("fp", "component_id", "root"), "fp")
 
 
 def keep_one(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """docs, with one row of each component of found (doc_id, component_id): that of the smallest doc_id; of rows that share it, the one whose text hashes lowest; of components without an id, the same."""
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
+    """docs, with one row of each component of found (doc_id, root, text_hash): that of the smallest doc_id, null last; of rows that share it, the one whose text hashes lowest."""
+    at = [F.col("doc_id").isNull().alias("_null"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.col("text_hash").alias("_hash")]
+    key = ["_null", "_id", "_hash"]
+    least = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "text_hash")).alias("least"))
+    kept = least.select("least.*").select(*at)
     names = docs.columns
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
-    w = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    rows = docs.select("*", text_hash()).select(*names, *at).join(kept, key, "left_semi")
+    w = Window.partitionBy(*key).orderBy(F.xxhash64(*names))
     return rows.withColumn("_row", F.row_number().over(w)).where("_row = 1").select(*names)

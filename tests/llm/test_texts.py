@@ -238,6 +238,16 @@ def test_pairs_at_the_likeness_are_found(spark):
     assert {r["doc_id"]: r["component_id"] for r in simhash.near_texts(df).collect()} == {i: i - i % 2 for i in range(100)}
 
 
+def test_keep_one_of_each_component(spark):
+    """Rows without an id, and rows of one id with unlike texts, are kept by component; rows that repeat are one."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(50)) for x in "abcd")
+    rows = [(None, a), (None, a), (None, b), (None, c), (7, c), (5, a + " more"), (5, d), (9, d), (9, "else"), (9, "else")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = simhash.keep_one(df, simhash.near_texts(df))
+    assert kept.columns == df.columns
+    assert sorted(kept.collect(), key=str) == sorted([(None, b), (5, a + " more"), (5, d), (7, c), (9, "else")], key=str)
+
+
 # op 7
 
 
