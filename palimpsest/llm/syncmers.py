@@ -9,8 +9,8 @@ the share of their union's smallest hashes that both hold, an estimate of the Ja
 texts' anchors, exact for short texts.
 
 Defined results: a null text counts as empty; an empty text has an empty fingerprint, which is like
-another empty one (1.0) and like no other (0.0); a text of fewer than k code points has one anchor, its
-whole; equal texts have equal fingerprints. Documents follow one another by descending doc_id, null last,
+another empty one (1.0) and like no other (0.0); a text without a closed syncmer, as all of fewer than k
+code points are, has one anchor, its whole; equal texts have equal fingerprints. Documents follow one another by descending doc_id, null last,
 rows that share an id by their text's hash; the first follows the last, so a single document follows
 itself. An empty table gives no rows; other columns are left out whatever their names.
 """
@@ -34,8 +34,14 @@ PART = 1 << 18
 
 
 class Anchors(NamedTuple):
+    """Closed syncmers; whole is the hash of a text without any."""
+
     at: np.ndarray
     hashes: np.ndarray
+    whole: np.ndarray = np.empty(0, np.uint32)
+
+    def or_whole(self) -> Anchors:
+        return self if len(self.at) else Anchors(np.zeros(len(self.whole), np.int64), self.whole)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -66,12 +72,15 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
 
 
+def whole_hash(text: str) -> np.ndarray:
+    return np.frombuffer(hashlib.blake2b(text.encode(), digest_size=4).digest(), np.uint32)
+
+
 def anchors(text: str, k: int = K, s: int = S) -> Anchors:
     """Where the text's closed syncmers start, and their 32-bit hashes."""
     n = len(text)
     if n < k:
-        whole = hashlib.blake2b(text.encode(), digest_size=4).digest()
-        return Anchors(np.zeros(min(n, 1), np.int64), np.frombuffer(whole if n else b"", np.uint32))
+        return Anchors(np.zeros(min(n, 1), np.int64), whole_hash(text) if n else np.empty(0, np.uint32))
     ats, hashes = [], []
     for start in range(0, n - k + 1, PART):
         inner = run_hashes(code_points(text[start : start + PART + k - 1]), s)
@@ -83,7 +92,8 @@ def anchors(text: str, k: int = K, s: int = S) -> Anchors:
             h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + inner[at + j])
         ats.append(at + start)
         hashes.append((h >> np.uint64(32)).astype(np.uint32))
-    return Anchors(np.concatenate(ats), np.concatenate(hashes))
+    found = Anchors(np.concatenate(ats), np.concatenate(hashes))
+    return found if len(found.at) else found._replace(whole=whole_hash(text))
 
 
 def edited_text(text: str, other: str) -> tuple[str, int, int]:
@@ -103,7 +113,7 @@ def edited_anchors(a: Anchors, b: Anchors, edited: str, kept: int, taken: int, s
 
 
 def sketch(found: Anchors, size: int = SIZE) -> np.ndarray:
-    return np.unique(found.hashes)[:size]
+    return np.unique(found.or_whole().hashes)[:size]
 
 
 def as_text(fingerprint: np.ndarray) -> str:
@@ -123,7 +133,7 @@ def with_anchors(docs: DataFrame, k: int = K, s: int = S) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [anchors(t, k, s) for t in b.column(1).to_pylist()]
+            found = [anchors(t, k, s).or_whole() for t in b.column(1).to_pylist()]
             at = np.cumsum([0] + [len(f.at) for f in found]).astype(np.int32)
             pairs = pa.StructArray.from_arrays([np.concatenate([f.at for f in found]).astype(np.int64), np.concatenate([f.hashes for f in found]).astype(np.int64)], ["at", "hash"])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(at, pairs)], ["doc_id", "anchors"])

@@ -102,6 +102,15 @@ def test_op1_odd(odd, none):
     assert syncmers.fingerprints(one).first()["near_next"] == 1.0
 
 
+def test_texts_without_a_syncmer_are_unlike():
+    rnd = random.Random(9)
+    texts = ["".join(rnd.choice("abcdefgh ") for _ in range(rnd.randrange(24, 39))) for _ in range(200)]
+    bare = [t for t in texts if not brute_anchors(t)]
+    prints = [syncmers.sketch(syncmers.anchors(t)) for t in bare]
+    assert len(bare) > 20 and all(len(p) == 1 for p in prints) and len({syncmers.as_text(p) for p in prints}) == len(bare)
+    assert syncmers.likeness(prints[0], prints[1]) == 0.0 and syncmers.likeness(prints[0], prints[0]) == 1.0
+
+
 # op 2
 
 
