@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions import validators
@@ -23,14 +23,29 @@ def combined(policy: Policy) -> str:
     return "|".join(f"(?:{regex.for_java(r.pattern)})" for r in policy.rules)
 
 
-def spans_and_gaps(text: Column, policy: Policy) -> tuple[Column, Column]:
-    """All candidate spans of a text, and what lies before, between and behind them."""
+#: Set around each match, so that one pass of the alternation gives the spans and what lies between; a noncharacter.
+MARK = "\uffff"
+
+
+def parts_of(text: Column, policy: Policy) -> Column:
+    """A text cut at its candidate spans: what lies before the first, the first, what lies between, and so on."""
     need, pattern = policy.needed(), combined(policy)
+    parts = F.split(F.regexp_replace(text, F.lit(pattern), F.lit(f"{MARK}$0{MARK}")), MARK, -1)
+    # a text with the mark itself pays for the alternation twice
     spans, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    plain = F.concat(F.slice(gaps, 1, 1), F.flatten(F.zip_with(spans, F.slice(gaps, 2, F.greatest(F.size(spans), F.lit(0))), lambda s, g: F.array(s, g))))
+    out = F.when(text.contains(MARK), plain)
     if need is None:
-        return spans, gaps
-    maybe = text.rlike(need.pattern(True))
-    return F.when(maybe, spans).when(text.isNotNull(), F.array().cast("array<string>")), F.when(maybe, gaps).when(text.isNotNull(), F.array(text))
+        return out.otherwise(parts)
+    return F.when(text.isNull(), F.lit(None)).when(~text.rlike(need.pattern(True)), F.array(text)).otherwise(out.otherwise(parts))
+
+
+def spans_of(parts: Column) -> Column:
+    return F.filter(parts, lambda _, i: i % 2 == 1)
+
+
+def gaps_of(parts: Column) -> Column:
+    return F.filter(parts, lambda _, i: i % 2 == 0)
 
 
 def rule_of(span: Column, policy: Policy) -> Column:
@@ -57,10 +72,9 @@ def picked(rule: Column, values: list[str]) -> Column:
 
 def inspected(df: DataFrame, text: str, policy: Policy) -> DataFrame:
     """df with _spans (struct of span, rule, ok) and _gaps."""
-    spans, gaps = spans_and_gaps(F.col(text), policy)
-    df = df.withColumns({"_raw": spans, "_gaps": gaps})
-    df = df.withColumn("_named", F.transform("_raw", lambda s: F.struct(s.alias("span"), rule_of(s, policy).alias("rule"))))
-    return df.withColumn("_spans", F.transform("_named", lambda c: F.struct(c["span"].alias("span"), c["rule"].alias("rule"), valid(c["span"], c["rule"], policy).alias("ok")))).drop("_raw", "_named")
+    df = df.withColumn("_parts", parts_of(F.col(text), policy))
+    df = df.withColumns({"_named": F.transform(spans_of(F.col("_parts")), lambda s: F.struct(s.alias("span"), rule_of(s, policy).alias("rule"))), "_gaps": gaps_of(F.col("_parts"))})
+    return df.withColumn("_spans", F.transform("_named", lambda c: F.struct(c["span"].alias("span"), c["rule"].alias("rule"), valid(c["span"], c["rule"], policy).alias("ok")))).drop("_parts", "_named")
 
 
 def scrubbed(df: DataFrame, text: str, policy: Policy, out: str = "clean_text", count: str = "n_matches") -> DataFrame:
@@ -89,25 +103,41 @@ def scrubbed_by_python(df: DataFrame, text: str, policy: Policy, out: str, count
     return df.mapInArrow(run, schema)
 
 
+#: Elements of an array that are summed up one after the other; longer arrays are summed in blocks.
+BLOCK = 256
+
+
+def sums_before(values: Column, block: int = BLOCK) -> Column:
+    """For each number of an array the sum of those before it."""
+    add = lambda done, x: F.concat(done, F.array(F.element_at(done, -1) + x))
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(values) - 1) / block), F.lit(0)).cast("int")), lambda k: F.slice(values, k * block + 1, block))
+    starts = F.aggregate(F.transform(blocks, lambda b: F.aggregate(b, F.lit(0).cast("long"), lambda x, y: x + y)), F.array(F.lit(0).cast("long")), add)
+    return F.flatten(F.zip_with(blocks, F.slice(starts, 1, F.size(blocks)), lambda b, s: F.slice(F.aggregate(b, F.array(s), add), 1, F.size(b))))
+
+
 def match_records(df: DataFrame, key: list[str], text: str, policy: Policy) -> DataFrame:
-    """key, ordinal, rule, line, offset (in bytes of UTF-8), original, replacement: a row a match, in document order within a key."""
+    """key, ordinal, rule, line, offset (in bytes of UTF-8), original, replacement: a row a match, in document order within a row of df.
+
+    All is counted within the row, so rows that share a key, or have none, don't meet, and nothing is shuffled.
+    """
     ids, labels = [r.id for r in policy.rules], [policy.replacement(r) for r in policy.rules]
-    rows = inspected(df.select(*key, text), text, policy)
-    # an outer explode: Spark would push the test of an inner one, and with it the alternation, below a repartition
-    each = rows.select(*key, F.posexplode_outer(F.arrays_zip(F.col("_spans").alias("s"), F.slice("_gaps", 1, F.size("_spans")).alias("g"))).alias("_at", "_z")).where(F.col("_z").isNotNull())
     newlines = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
-    span, gap = F.col("_z.s.span"), F.col("_z.g")
-    order = Window.partitionBy(*key).orderBy("_at")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    each = each.withColumns(
-        {
-            "offset": F.sum(F.octet_length(gap)).over(order.rowsBetween(Window.unboundedPreceding, 0)) + F.coalesce(F.sum(F.octet_length(span)).over(before), F.lit(0)),
-            "line": 1 + F.sum(newlines(gap)).over(order.rowsBetween(Window.unboundedPreceding, 0)) + F.coalesce(F.sum(newlines(span)).over(before), F.lit(0)),
-        }
-    )
-    hits = each.where("_z.s.ok").withColumn("ordinal", F.row_number().over(order).cast("long"))
-    rule = F.col("_z.s.rule")
-    return hits.select(*key, "ordinal", picked(rule, ids).alias("rule"), F.col("line").cast("long").alias("line"), F.col("offset").cast("long").alias("offset"), span.alias("original"), picked(rule, labels).alias("replacement"))
+    rows = inspected(df.select(*[F.col(k).alias(f"_key_{k}") for k in key], F.col(text).alias("_text")), "_text", policy)
+    measured = F.zip_with(
+        "_spans", F.slice("_gaps", 1, F.size("_spans")),
+        lambda s, g: F.struct(s.alias("s"), F.octet_length(g).cast("long").alias("g_bytes"), F.octet_length(s["span"]).cast("long").alias("s_bytes"), newlines(g).cast("long").alias("g_lines"), newlines(s["span"]).cast("long").alias("s_lines")),
+    )
+    rows = rows.select(*[f"_key_{k}" for k in key], measured.alias("_m"))
+    rows = rows.withColumns({"_bytes": F.transform("_m", lambda m: m["g_bytes"] + m["s_bytes"]), "_lines": F.transform("_m", lambda m: m["g_lines"] + m["s_lines"])})
+    rows = rows.withColumns({"_bytes": sums_before(F.col("_bytes")), "_lines": sums_before(F.col("_lines"))})
+    hits = F.filter(F.arrays_zip("_m", "_bytes", "_lines"), lambda z: z["_m"]["s"]["ok"])
+    # an outer explode: Spark would push the test of an inner one, and with it the alternation, below a repartition
+    each = rows.select(*[f"_key_{k}" for k in key], F.posexplode_outer(hits).alias("_at", "_z")).where(F.col("_z").isNotNull())
+    rule, own = F.col("_z._m.s.rule"), F.col("_z._m")
+    return each.select(
+        *[F.col(f"_key_{k}").alias(k) for k in key], (F.col("_at") + 1).cast("long").alias("ordinal"), picked(rule, ids).alias("rule"), (1 + F.col("_z._lines") + own["g_lines"]).alias("line"),
+        (F.col("_z._bytes") + own["g_bytes"]).alias("offset"), own["s"]["span"].alias("original"), picked(rule, labels).alias("replacement"),
+    )
 
 
 def scrubbed_names(df: DataFrame, name: str, policy: Policy, out: str = "clean_name") -> DataFrame:
@@ -116,7 +146,8 @@ def scrubbed_names(df: DataFrame, name: str, policy: Policy, out: str = "clean_n
     labels = [policy.replacement(r) for r in policy.rules]
 
     def fresh(part: Column) -> Column:
-        spans, gaps = spans_and_gaps(part, policy)
+        parts = parts_of(part, policy)
+        spans, gaps = spans_of(parts), gaps_of(parts)
         named = F.transform(spans, lambda s: F.struct(s.alias("span"), rule_of(s, policy).alias("rule")))
         checked = F.transform(named, lambda c: F.struct(F.when(valid(c["span"], c["rule"], policy), picked(c["rule"], labels)).alias("label"), c["span"].alias("span")))
         pieces = F.zip_with(checked, F.slice(gaps, 2, F.greatest(F.size(gaps) - 1, F.lit(0))), lambda c, g: F.concat(F.coalesce(c["label"], c["span"]), g))

@@ -142,6 +142,13 @@ def match_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return columns.match_records(texts(spark, sf_dir, "documents", "doc_id", "text"), ["doc_id"], "text", STRICT)
 
 
+@query("match_records_shared_keys", f"SELECT CAST(nullif(doc_id % 7, 0) AS VARCHAR) AS k, ordinal, rule, line, \"offset\", original, replacement FROM ({sql_matches(STRICT, 'documents', 'doc_id')})")
+def match_records_shared_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys that many rows share, or that are null: each row counts its own lines, offsets and ordinals."""
+    docs = texts(spark, sf_dir, "documents", "doc_id", "text").select(F.nullif(F.col("doc_id") % 7, F.lit(0)).cast("string").alias("k"), "text")
+    return columns.match_records(docs, ["k"], "text", STRICT)
+
+
 @query("match_records_terms", sql_matches(TERMS, "conversations", "conv_id, turn"))
 def match_records_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return columns.match_records(texts(spark, sf_dir, "conversations", "conv_id", "turn", "text"), ["conv_id", "turn"], "text", TERMS)
