@@ -129,6 +129,32 @@ def test_main_text_odd(spark):
     assert got == [(1, ""), (2, ""), (None, "plain"), (4, "a b c"), (5, "word word word word "), (5, "t"), (6, ""), (7, "a b")]
 
 
+ART = "<article><h1>T</h1><p>Long enough text of an article, prose it is and goes on.</p><p>More of the same, with a sentence or two more.</p></article>"
+BLOCKS = ["T", "Long enough text of an article, prose it is and goes on.", "More of the same, with a sentence or two more."]
+
+
+@pytest.mark.parametrize("wrapper", ["layout has-sidebar", "site cookie-accepted", "no-sidebar", "ad-free content", "sidebar", "widget page"])
+def test_wrappers_are_not_apart(wrapper):
+    for art in (ART, ART.replace("article>", "div>")):
+        assert html_main.main_blocks(f'<div class="{wrapper}">{art}</div><div class="ad">Buy.</div>') == BLOCKS
+
+
+def test_several_articles_and_parts_of_one():
+    assert html_main.main_blocks(ART + ART) == BLOCKS * 2
+    page = ART.replace("</article>", '<section id="related-work"><p>Others did this.</p></section><section class="discussion"><p>We discuss.</p></section><p class="share-price">3</p><div class="ad-slot">buy</div></article>')
+    readers = '<div id="comments"><article class="comment"><p>' + "me too " * 100 + "</p></article></div>"
+    assert html_main.main_blocks(page + readers) == [*BLOCKS, "Others did this.", "We discuss.", "3"]
+
+
+@pytest.mark.parametrize("unit", ["<div>a", "<div class=ad>a", "<b>a", "<article><p>a", "<b><article>x</b>", "<span><p>a</b>"])
+def test_deep_pages_take_linear_time(unit):
+    import time
+
+    start = time.process_time()
+    assert html_main.main_blocks(unit * 50_000)
+    assert time.process_time() - start < 10
+
+
 def test_smoothing_and_threshold():
     assert html_main.smoothed([1.0, 1.0, 1.0]) == pytest.approx([1, 1, 1]) and 1 < html_main.threshold([0.0, 1.0, 1.0, 50.0, 60.0]) < 50
 
@@ -228,7 +254,7 @@ def chats(spark):
 
 def test_links_order_and_errors(chats):
     calls, results = chat.linked(chats)
-    status = {(r["conv_id"], r["turn"], r["at"]): r["status"] for r in calls.collect()}
+    status = {(r["conv_id"], r["turn"], r["at"]): r["status"] for r in calls.drop("arguments").collect()}
     assert status == {(1, 2, 0): "linked", (1, 2, 1): "unanswered", (1, 6, 0): "malformed", (1, 6, 1): "malformed", (1, 6, 2): "duplicate", (2, 0, 0): "linked", (3, 0, 0): "linked"}
     assert {(r["conv_id"], r["turn"]): r["status"] for r in results.collect()} == {(1, 1): "linked", (1, 3): "duplicate", (1, 4): "orphan", (1, 5): "orphan", (2, 1): "linked", (3, 2): "linked"}
     errors = {(r["conv_id"], r["turn"], r["at"]): r["errors"] for r in chat.validated(calls, queries.TOOLS).collect()}
@@ -251,6 +277,87 @@ def test_formatted(chats):
     assert chat.formatted(chats.where("false"), queries.TOOLS).count() == 0
 
 
+def test_messages_that_share_a_turn(spark):
+    good, bad = CALL % ("g", '{"query": "x"}'), CALL % ("b", '{"limit": 1}')
+    rows = [(1, 0, "assistant", good), (1, 0, "assistant", bad), (1, 0, "tool", '{"tool_call_id": "g", "content": 1}'), (1, 0, "tool", '{"tool_call_id": "g", "content": 2}'), (1, 0, "tool", '{"tool_call_id": "b"}')]
+    got = {r["json"]: (r["n_calls"], r["n_bad"], r["link"]) for r in chat.formatted(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), queries.TOOLS).collect()}
+    assert sorted(v[:2] for v in got.values() if v[0]) == [(1, 0), (1, 1)] and sorted(str(v[2]) for v in got.values()) == ["None", "None", "duplicate", "linked", "linked"]
+
+
+def brute_chats(rows, schemas):
+    """Of each conversation, in order: turn, role, n_calls, n_bad, link."""
+    import re
+
+    kinds = {"string": str, "integer": int, "number": (int, float)}
+    out = []
+    for conv in {r[0] for r in rows}:
+        place = lambda m: (m[1] is None, m[1] or 0, m[2] is None, m[2] or "", m[4])
+        own = sorted((r for r in rows if r[0] == conv), key=place)
+        heads, answers, calls_of, result_of = {}, {}, {}, {}
+        for m in own:
+            calls = []
+            for raw in re.findall(r"<tool_call>(.*?)</tool_call>", m[3], re.S) if m[2] == "assistant" else []:
+                try:
+                    c = json.loads(raw)
+                    calls.append(c if isinstance(c, dict) and c.get("id") is not None and c.get("name") is not None else None)
+                except ValueError:
+                    calls.append(None)
+            calls_of[m[:4]] = calls
+            for at, c in enumerate(calls):
+                if c:
+                    heads.setdefault(c["id"], (m[:4], at, m[1]))
+            if m[2] == "tool":
+                try:
+                    c = json.loads(m[3])
+                    result_of[m[:4]] = c.get("tool_call_id") if isinstance(c, dict) else None
+                except ValueError:
+                    result_of[m[:4]] = None
+                if result_of[m[:4]] is not None:
+                    answers.setdefault(result_of[m[:4]], m[:4])
+        done = []
+        for m in own:
+            n_bad = 0
+            for at, c in enumerate(calls_of[m[:4]]):
+                ok = bool(c) and heads[c["id"]][:2] == (m[:4], at) and c["id"] in answers
+                if ok:
+                    schema, given = schemas.get(c["name"]), c.get("arguments")
+                    given = given if isinstance(given, dict) else {}
+                    ok = schema is not None and all(p in schema and isinstance(v, kinds[schema[p][0]]) for p, v in given.items()) and all(p in given for p, (_, need) in schema.items() if need)
+                n_bad += not ok
+            link, at = None, (m[1] is None, m[1] or 0, 0)
+            if m[2] == "tool":
+                i = result_of[m[:4]]
+                link = "orphan" if i not in heads else "linked" if answers[i] == m[:4] else "duplicate"
+                if link == "linked" and m[1] is not None and heads[i][2] is not None and heads[i][2] > m[1]:
+                    at = (False, heads[i][2], 1)
+            done.append((at, place(m), (conv, m[1], m[2], len(calls_of[m[:4]]), n_bad, link)))
+        out += [(*row, k + 1) for k, (_, _, row) in enumerate(sorted(done, key=lambda d: d[:2]))]
+    return out
+
+
+def test_chats_by_brute_force(spark):
+    rnd = random.Random(11)
+    rows = []
+    for conv in range(40):
+        ids = [f"i{n}" for n in range(4)]
+        for _ in range(rnd.randrange(1, 14)):
+            turn = rnd.randrange(6)
+            if rnd.random() < 0.45:
+                calls = [CALL % (rnd.choice(ids), rnd.choice(['{"query": "x"}', '{"query": 1}', '{"query": "x", "limit": 2}', '{"limit": "2"}', "{}", "3"])) if rnd.random() < 0.85 else "<tool_call>[1</tool_call>" for _ in range(rnd.randrange(3))]
+                rows.append((conv, turn, "assistant", f"say {rnd.random()} " + "".join(calls)))
+            elif rnd.random() < 0.8:
+                rows.append((conv, turn, "tool", json.dumps({"tool_call_id": rnd.choice([*ids, "nobody"]), "content": rnd.random()}) if rnd.random() < 0.9 else f"no json {rnd.random()}"))
+            else:
+                rows.append((conv, turn, rnd.choice(["user", None]), f"hello {rnd.random()}"))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    keyed = [(r["conv_id"], r["turn"], r["role"], r["text"], r["hash"]) for r in chat.with_key(df).collect()]
+    want = brute_chats(keyed, queries.TOOLS)
+    for block in (2, 1024):
+        got = chat.formatted(df, queries.TOOLS, block_turns=block).collect()
+        assert sorted(map(str, want)) == sorted(str((r["conv_id"], r["turn"], r["role"], r["n_calls"], r["n_bad"], r["link"], r["position"])) for r in got)
+    assert {w[5] for w in want} == {None, "linked", "duplicate", "orphan"} and any(w[3] and not w[4] for w in want)
+
+
 # the pipeline
 
 
