@@ -6,8 +6,10 @@ found there are verified by their whole distance. Once segments 0 to j have been
 code within segments * r + j differing bits has been met; the search ends when the kth smallest verified distance
 is within that, so no nearer code, and none of equal distance, is missed.
 
-Rows are dealt by a hash of their id to shards of bounded size, queries are taken in blocks of bounded size, and each
-pair of a shard and a block is one task's work, whose k nearest a query are merged over the shards.
+Rows are dealt by a hash of their id to shards of bounded size, as large as memory allows, since the work that a query is in a
+shard grows by far less than the shard does. Queries are taken in blocks of bounded size, smaller ones only as far as
+there are cores to fill, and each pair of a shard and a block is one task's work, whose k nearest a query are merged over the
+shards. Equal codes are one entry of an index, with their ids in order, so that no group of copies is searched twice.
 
 Defined results: rows without an id or an embedding have no code, and are neither found nor searched for;
 a code has one bit for each of the first `bits` numbers, set if it is above zero (missing, null and NaN: not);
@@ -18,6 +20,7 @@ other columns are left out whatever their names.
 
 from __future__ import annotations
 
+import heapq
 from functools import cache, reduce
 from itertools import combinations
 
@@ -29,7 +32,10 @@ from pyspark.sql import functions as F
 from palimpsest.llm.common import cut
 from palimpsest.runtime import ship
 
-BITS, SHARD_ROWS, BLOCK_ROWS = 64, 16_384, 8_192
+#: A shard of that many rows takes about 100 MB of a task with its index.
+BITS, SHARD_ROWS, BLOCK_ROWS = 64, 1 << 20, 1 << 16
+#: Queries that make a block at least, where blocks are cut smaller for the cores' sake.
+FEW_ROWS = 128
 #: Partitions of the pairs at most; beyond, a task has several.
 MOST_PARTS = 20_000
 
@@ -47,20 +53,23 @@ def masks(width: int, radius: int) -> np.ndarray:
 
 
 class MultiIndex:
-    """Codes (unsigned 64-bit) with ids, indexed by segment."""
+    """Distinct codes (unsigned 64-bit) with their ids, indexed by segment."""
 
     def __init__(self, codes: np.ndarray, ids: np.ndarray, bits: int = BITS, segments: int = 0) -> None:
-        order = np.argsort(ids, kind="stable")
-        self.codes, self.ids = codes[order], ids[order]
+        order = np.lexsort((ids, codes))
+        self.ids = ids[order]
+        self.codes, first = np.unique(codes[order], return_index=True)
+        self.first = np.append(first, len(ids))
         # a segment about as wide as the number of codes has bits, so that a value has about one code
-        segments = segments or max(1, round(bits / max(4, min(16, len(codes).bit_length() - 1))))
+        segments = segments or max(1, round(bits / max(4, min(20, len(self.codes).bit_length() - 1))))
         at = [bits * i // segments for i in range(segments + 1)]
         self.parts = [(np.uint64(a), b - a) for a, b in zip(at, at[1:], strict=False)]
         self.order, self.starts = [], []
         for a, width in self.parts:
             value = self.segment(self.codes, a, width)
-            self.order.append(np.argsort(value, kind="stable"))
-            self.starts.append(np.concatenate([[0], np.cumsum(np.bincount(value, minlength=1 << width))]))
+            self.order.append(np.argsort(value, kind="stable").astype(np.int32))
+            self.starts.append(np.concatenate([[0], np.cumsum(np.bincount(value, minlength=1 << width))]).astype(np.int32))
+        self.seen = np.zeros(len(self.codes), bool)
 
     @staticmethod
     def segment(codes: np.ndarray, a: np.uint64, width: int) -> np.ndarray:
@@ -68,28 +77,51 @@ class MultiIndex:
 
     def nearest(self, code: np.uint64, own: int, k: int) -> list[tuple[int, int]]:
         """(distance, id) of the k nearest, by distance and then id, rows of the own id left out."""
-        seen = np.zeros(len(self.codes), bool)
-        found_d, found_at = np.empty(0, np.int64), np.empty(0, np.int64)
-        m = len(self.parts)
+        best: list[tuple[int, int]] = []
+        met, m = [], len(self.parts)
+        values_of = [int(self.segment(np.array([code]), a, width)[0]) for a, width in self.parts]
         for radius in range(max(w for _, w in self.parts) + 1):
-            for j, (a, width) in enumerate(self.parts):
+            for j, (_, width) in enumerate(self.parts):
                 if radius <= width:
-                    values = masks(width, radius) ^ int(self.segment(np.array([code]), a, width)[0])
+                    values = masks(width, radius) ^ values_of[j]
                     lo, hi = self.starts[j][values], self.starts[j][values + 1]
-                    size = hi - lo
-                    if total := int(size.sum()):
-                        at = np.repeat(lo - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(total)
-                        at = self.order[j][at]
-                        at = at[~seen[at]]
-                        seen[at] = True
-                        at = at[self.ids[at] != own]
-                        found_at = np.concatenate([found_at, at])
-                        found_d = np.concatenate([found_d, np.bitwise_count(self.codes[at] ^ code).astype(np.int64)])
-                        best = np.lexsort((found_at, found_d))[:k]
-                        found_at, found_d = found_at[best], found_d[best]
-                if len(found_at) == k and found_d[-1] <= m * radius + j:
-                    return [(int(d), int(self.ids[i])) for d, i in zip(found_d, found_at, strict=True)]
-        return [(int(d), int(self.ids[i])) for d, i in zip(found_d, found_at, strict=True)]
+                    some = np.flatnonzero(hi > lo)
+                    if len(some):
+                        lo, size = lo[some].astype(np.int64), (hi[some] - lo[some]).astype(np.int64)
+                        ends = np.cumsum(size)
+                        at = self.order[j][np.repeat(lo - ends + size, size) + np.arange(ends[-1])]
+                        at = at[~self.seen[at]]
+                        self.seen[at] = True
+                        met.append(at)
+                        d = np.bitwise_count(self.codes[at] ^ code)
+                        if len(best) == k:  # an equal distance may still have a smaller id
+                            close = d <= best[-1][0]
+                            at, d = at[close], d[close]
+                        if len(at):
+                            best = self.merged(best, at, d, own, k)
+                if len(best) == k and best[-1][0] <= m * radius + j:
+                    self.seen[np.concatenate(met)] = False
+                    return best
+        self.seen[:] = False
+        return best
+
+    def merged(self, best: list[tuple[int, int]], at: np.ndarray, d: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
+        """The k nearest of what there is and the ids of the codes `at`, at distances d."""
+        found = list(best)
+        for distance in np.unique(d):
+            if len(found) - len(best) >= k:
+                break
+            of_distance = []
+            for c in at[d == distance]:
+                first, after = self.first[c], self.first[c + 1]
+                # of one code's ids k besides the own one are enough
+                mine = self.ids[first:after]
+                if after - first > 1:
+                    before, behind = np.searchsorted(mine, [own, own + 1])
+                    mine = np.concatenate([mine[: min(before, k)], mine[behind : behind + k]])[:k]
+                of_distance += [(int(distance), int(i)) for i in mine if i != own]
+            found += heapq.nsmallest(k, of_distance)
+        return heapq.nsmallest(k, found)
 
 
 def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, bits: int = BITS, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -98,7 +130,10 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, bits: int = BITS, sh
     ship(spark)
     coded = lambda df: df.where("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("long").alias("vec_id"), code_of(F.col("embedding"), bits).alias("code"))
     data, asked = cut(coded(rows)), cut(coded(queries).withColumn("query", F.monotonically_increasing_id()))
-    shards, blocks = max(1, -(-data.count() // shard_rows)), max(1, -(-asked.count() // block_rows))
+    n_asked = asked.count()
+    shards = max(1, -(-data.count() // shard_rows))
+    idle = -(-2 * spark.sparkContext.defaultParallelism // shards)
+    blocks = max(1, -(-n_asked // block_rows), min(idle, -(-n_asked // FEW_ROWS)))
     dealt = lambda df, key, n: F.pmod(F.xxhash64(key), F.lit(n))
     left = data.select(dealt(data, "vec_id", shards).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "vec_id", "code")
     right = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<bigint>")).alias("shard"), dealt(asked, "query", blocks).cast("int").alias("block"), "query", "vec_id", "code")
