@@ -206,9 +206,6 @@ def walked(objects: DataFrame, policies: dict[str, Policy], default: str, limits
                 ]
                 yield pa.RecordBatch.from_pylist([{"object_key": key, "output": out, "changed": changed, "error": error, "files": files, "residual_samples": list(map(clean, walk.samples)) if walk else []}], schema=arrow_schema())
 
-    few = objects.sparkSession.conf
-    if int(few.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > 64:
-        few.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
     return rows.mapInArrow(run, WALKED)
 
 

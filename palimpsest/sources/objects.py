@@ -53,6 +53,13 @@ def store(uri: str) -> tuple[afs.FileSystem, str]:
     return afs.FileSystem.from_uri(uri) if "://" in uri else (afs.LocalFileSystem(), uri)
 
 
+def replaced(to: afs.FileSystem, own: str, target: str) -> None:
+    """Moves a file that is whole to its name, over one that an earlier attempt left there, as not all file systems do by themselves."""
+    if not isinstance(to, afs.LocalFileSystem) and to.get_file_info(target).type == afs.FileType.File:
+        to.delete_file(target)
+    to.move(own, target)
+
+
 def write_objects(rows: DataFrame, folder: str, key: str = "output_key", content: str = "output") -> DataFrame:
     """Writes each row's content under its key, and returns output_key, bytes. A file appears whole, by a rename from a name that is the attempt's own."""
     ship(rows.sparkSession)
@@ -69,7 +76,7 @@ def write_objects(rows: DataFrame, folder: str, key: str = "output_key", content
                 to.create_dir(os.path.dirname(target), recursive=True)
                 with to.open_output_stream(own) as f:
                     f.write(data.as_buffer())
-                to.move(own, target)
+                replaced(to, own, target)
                 sizes.append(len(data.as_buffer()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64())], ["output_key", "bytes"])
 
