@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import re
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.runtime import ship
+from palimpsest.sources.objects import store
 
 #: Rows in an Arrow batch at most: texts are long, and a batch is held whole.
 BATCH_ROWS = 256
@@ -26,26 +30,50 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; one of our own only if none is named."""
+    """The folder that the driver and all executors share. One of our own only if none is named, and all run on this machine."""
     sc = spark.sparkContext
     if not (path := sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()):
+        if not (sc.master or "").startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         sc.setCheckpointDir(path := "file://" + tempfile.mkdtemp(prefix="palimpsest-"))
     return path
 
 
+def own_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, which goes when the driver ends."""
+    folder = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    atexit.register(removed, folder)
+    return folder
+
+
+def removed(folder: str) -> None:
+    with contextlib.suppress(OSError):
+        frm, at = store(folder)
+        frm.delete_dir(at)
+
+
+def helpers(names: list[str], *wanted: str) -> list[str]:
+    """Names of columns for an operator's own use, which clash with none of the input's."""
+    taken, mark = {n.lower() for n in names}, "_"
+    while any(f"{mark}{w}".lower() in taken for w in wanted):
+        mark += "_"
+    return [f"{mark}{w}" for w in wanted]
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared folder, so that lost executors don't recompute it."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def by_batch(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with batches of few rows, by functions of this package."""
+def by_batch(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = BATCH_ROWS) -> DataFrame:
+    """mapInArrow by functions of this package, which get batches of `rows` rows at most, whatever the session's setting is."""
     ship(df.sparkSession)
-    conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return df.mapInArrow(f, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return f(b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows))
+
+    return df.mapInArrow(run, schema)
 
 
 def text_or_empty(name: str = "text") -> Column:

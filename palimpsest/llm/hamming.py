@@ -35,7 +35,7 @@ from palimpsest.runtime import ship
 #: A shard of that many rows takes about 100 MB of a task with its index.
 BITS, SHARD_ROWS, BLOCK_ROWS = 64, 1 << 20, 1 << 16
 #: Queries that make a block at least, where blocks are cut smaller for the cores' sake.
-FEW_ROWS = 128
+FEW_ROWS = 32
 #: Partitions of the pairs at most; beyond, a task has several.
 MOST_PARTS = 20_000
 

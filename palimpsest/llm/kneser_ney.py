@@ -1,6 +1,7 @@
 """A quality classifier: perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-The model is of characters, in 64 classes, and of order 5, a model for each language. Trusted documents are
+The model is of characters and of order 5, a model for each language. A character is one of 4096 symbols: letters of
+their own, and classes of digits, space and signs. Trusted documents are
 dealt by a hash of their id into two halves: n-grams are counted over the whole texts of one, and each
 language's threshold is a quantile of the scores that the other gets, so that it is not set by texts which the
 model has seen. A document is rejected if its score is above the threshold of its language.
@@ -8,8 +9,9 @@ model has seen. A document is rejected if its score is above the threshold of it
 Counts are summed by (language, n-gram); those of lower orders are continuation counts of the order above;
 discounts come from the counts of counts; and each order's probabilities join those of the order below on the
 n-gram's suffix. The finished model is dealt into shards by the two symbols before an n-gram's last, which hold
-every order that one lookup needs. Each shard has at most `shard_rows` rows (by what is counted before it is
-sent) and is broadcast alone; a document's sums over all shards give its perplexity.
+every order above the second that one lookup needs. Executors write each shard (of at most `shard_rows` rows, but for
+what hashing leaves uneven) as a file of the shared folder, and map the files into memory to score texts where they lie:
+neither the driver nor a broadcast holds any of the model, and pages of a mapped file are given back when memory is short.
 
 A score is a document's mean negative log-probability per character, with `prior` characters of the
 language's mean added, so that a few characters decide nothing.
@@ -18,13 +20,16 @@ Defined results: a null language is a language; a null or empty text scores its
 kept; a language without trusted documents in both halves has no threshold, and its documents are kept (perplexity
 is null without a model); rows that repeat stay repeated, and count as often as they stand; an empty table gives no
 rows; labels without a document are ignored; labels that repeat count once, and a document is trusted
-only if no label of its own speaks against it; other columns may have any name that does not start with an
-underscore.
+only if no label of its own speaks against it; other columns may have any name.
 """
 
 from __future__ import annotations
 
+import json
+import os
+import tempfile
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -32,25 +37,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import by_batch, cut, text_or_empty
+from pyspark import TaskContext
+
+from palimpsest.llm.common import by_batch, cut, helpers, own_folder, text_or_empty
+from palimpsest.sources.objects import replaced, store
 
 ORDER, QUANTILE, PRIOR = 5, 0.99, 50
-#: Rows of the model that are sent at once, 20 bytes each.
+#: Rows of the model in one file, 24 bytes each.
 SHARD_ROWS = 2_000_000
-BITS, CLASSES = 6, 64
+BITS, CLASSES = 12, 4096
 #: Code points of a text that are counted or scored at once.
 PART = 1 << 20
 
 
+def letter(points):
+    """The symbol of a letter beyond ASCII, by a hash: two of one language seldom share one."""
+    return 64 + (points * 2654435761 >> 9) % (CLASSES - 64)
+
+
 def classes() -> np.ndarray:
-    """The class of each code point below 2^16; 0 stands before a text's start."""
-    out = np.full(1 << 16, 62, np.uint8)
+    """The symbol of each code point below 2^16; 0 stands before a text's start."""
+    out = np.full(1 << 16, 62, np.uint16)
     for c in range(1 << 16):
         ch = chr(c)
         if c < 32:
             out[c] = 63
         elif c >= 128:
-            out[c] = 57 if ch.isupper() else 56 if ch.isalpha() else 3 if ch.isdigit() else 1 if ch.isspace() else 62
+            out[c] = letter(c) if ch.isalpha() else 3 if ch.isdigit() else 1 if ch.isspace() else 62
     for n, chars in ((1, " \t\r"), (2, "\n"), (3, "0123456789"), (58, "."), (59, ","), (60, "?!;:"), (61, "'\"-()")):
         out[[ord(x) for x in chars]] = n
     out[ord("a") : ord("z") + 1] = np.arange(4, 30)
@@ -65,7 +78,10 @@ def symbols(text: str) -> np.ndarray:
     if not TABLE:
         TABLE.append(classes())
     points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    return TABLE[0][np.minimum(points, 0xFFFF)]
+    out = TABLE[0][np.minimum(points, 0xFFFF)]
+    if len(far := np.flatnonzero(points > 0xFFFF)):
+        out[far] = letter(points[far].astype(np.int64))
+    return out
 
 
 def grams(text: str, order: int = ORDER) -> Iterator[np.ndarray]:
@@ -155,42 +171,107 @@ def estimate(top: DataFrame, order: int = ORDER) -> DataFrame:
     return model
 
 
-class Shard(NamedTuple):
-    """Of each language: for each order the sorted n-grams, their probabilities, the sorted contexts, their weights."""
-
-    levels: dict[str, list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]
-    number: int
-    shards: int
-
-
 def shard_number(key, n: int, shards: int):
     """The shard of an n-gram of order 3 or more, by the two symbols before its last."""
     two = key >> BITS & mask(2)
     return (two * 40503 >> 4) % shards
 
 
-def shards_of(model: DataFrame, order: int = ORDER, shard_rows: int = SHARD_ROWS) -> list[Shard]:
-    """The model on the driver, shard by shard, none above shard_rows but by what hashing leaves uneven."""
-    n_rows = model.count()
-    shards, out = max(1, -(-n_rows // shard_rows)), []
+class Model(NamedTuple):
+    """The shards' files, by number (-1: orders 1 and 2), how many shards there are, and the order."""
+
+    folder: str
+    numbers: tuple[int, ...]
+    shards: int
+    order: int = ORDER
+
+
+#: Of a language: for each order the sorted n-grams, their probabilities, the sorted contexts, their weights.
+Levels = list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+NONE = (np.empty(0, np.int64), np.empty(0, np.float32), np.empty(0, np.int64), np.empty(0, np.float32))
+
+
+def saved(model: DataFrame, order: int = ORDER, shard_rows: int = SHARD_ROWS) -> Model:
+    """Writes the model's shards, each by one task, which holds no more than that."""
+    spark = model.sparkSession
+    folder = own_folder(spark, "model")
+    shards = max(1, -(-model.count() // shard_rows))
     two = F.shiftright("key", BITS).bitwiseAND(mask(2))
-    number = F.when(F.col("n") < 3, -1).otherwise(F.shiftright(two * 40503, 4) % shards)
-    for k in range(shards):
-        got = model.where(number.isin(-1, k)).toArrow().sort_by([("lang", "ascending"), ("n", "ascending"), ("key", "ascending")])
-        lang, n = got.column("lang").to_numpy(), got.column("n").to_numpy()
-        levels: dict[str, list] = {}
-        for name in dict.fromkeys(lang):
-            levels[name] = []
-            for i in range(1, order + 1):
-                at = np.flatnonzero((lang == name) & (n == i))
-                part = got.slice(at[0], len(at)) if len(at) else got.slice(0, 0)
-                keys, p, gamma = (part.column(c).to_numpy() for c in ("key", "p", "gamma"))
-                contexts, first = np.unique(keys >> BITS, return_index=True)
-                levels[name].append((keys, p.astype(np.float32), contexts, gamma[first].astype(np.float32)))
-        out.append(Shard(levels, k, shards))
+    number = F.when(F.col("n") < 3, -1).otherwise(F.shiftright(two * 40503, 4) % shards).cast("int")
+    dealt = model.withColumn("shard", number).repartition(shards + 1, "shard").sortWithinPartitions("shard", "lang", "n", "key").select("shard", "lang", "n", "key", "p", "gamma")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        done = []
+        for b in batches:
+            at = b.column(0).to_numpy()
+            for part in np.split(np.arange(len(at)), np.flatnonzero(np.diff(at)) + 1):
+                if held and held[0].column(0)[0].as_py() != at[part[0]]:
+                    done.append(write_shard(folder, held))
+                    held = []
+                held.append(b.slice(part[0], len(part)))
+        if held:
+            done.append(write_shard(folder, held))
+        yield pa.RecordBatch.from_arrays([pa.array(done, pa.int32())], ["shard"])
+
+    numbers = sorted(r[0] for r in by_batch(dealt, run, "shard int", rows=65_536).collect())
+    return Model(folder, tuple(numbers), shards, order)
+
+
+def write_shard(folder: str, held: list[pa.RecordBatch]) -> int:
+    """One file: arrays one behind the other, and at its end a list of where each begins."""
+    table = pa.Table.from_batches(held)
+    number, lang, n = table.column("shard")[0].as_py(), table.column("lang").to_numpy(), table.column("n").to_numpy()
+    to, at = store(folder)
+    to.create_dir(at, recursive=True)
+    own, offset, index = f"{at}/_attempt-{number}-{TaskContext.get().taskAttemptId()}", 0, []
+    starts = np.flatnonzero(np.append(True, (lang[1:] != lang[:-1]) | (n[1:] != n[:-1])))
+    with to.open_output_stream(own) as out:
+        for a, b in zip(starts, [*starts[1:], len(n)], strict=True):
+            part = table.slice(a, b - a)
+            keys, p, gamma = (part.column(c).to_numpy() for c in ("key", "p", "gamma"))
+            contexts, first = np.unique(keys >> BITS, return_index=True)
+            sizes = []
+            for x in (keys.astype("<i8"), contexts.astype("<i8"), p.astype("<f4"), gamma[first].astype("<f4")):
+                out.write(x.tobytes())
+                sizes.append(len(x))
+            out.write(bytes(-sum(sizes[2:]) * 4 % 8))
+            index.append((lang[a], int(n[a]), offset, sizes[0], sizes[1]))
+            offset += sum(sizes[:2]) * 8 + (sum(sizes[2:]) * 4 + 7) // 8 * 8
+        tail = json.dumps(index).encode()
+        out.write(tail + len(tail).to_bytes(8, "little"))
+    replaced(to, own, f"{at}/shard-{number}")
+    return number
+
+
+def read_shard(folder: str, number: int) -> dict[str, dict[int, tuple]]:
+    """A shard's arrays by language and order, mapped from a file of this process that has no name any more."""
+    frm, at = store(folder)
+    handle, name = tempfile.mkstemp(prefix="palimpsest-")
+    try:
+        with os.fdopen(handle, "wb") as out, frm.open_input_stream(f"{at}/shard-{number}") as f:
+            while some := f.read(1 << 20):
+                out.write(some)
+        raw = np.memmap(name, np.uint8, "r")
+    finally:
+        os.unlink(name)
+    size = int.from_bytes(raw[-8:].tobytes(), "little")
+    out: dict[str, dict[int, tuple]] = {}
+    for lang, n, offset, keys, contexts in json.loads(raw[-8 - size : -8].tobytes()):
+        ends = np.cumsum([offset, 8 * keys, 8 * contexts, 4 * keys, 4 * contexts])
+        k, c, p, g = (raw[a:b].view(kind) for a, b, kind in zip(ends, ends[1:], ("<i8", "<i8", "<f4", "<f4"), strict=False))
+        out.setdefault(lang, {})[n] = (k, p, c, g)
     return out
 
 
+@lru_cache(maxsize=1)
+def levels_of(model: Model) -> dict[str, list[Levels]]:
+    """Of each language the levels in every shard; once a process."""
+    got = {k: read_shard(model.folder, k) for k in model.numbers}
+    base = got.get(-1, {})
+    return {lang: [[base[lang].get(n, NONE) if n < 3 else got.get(k, {}).get(lang, {}).get(n, NONE) for n in range(1, model.order + 1)] for k in range(model.shards)] for lang in base}
+
+
 def log_probability(levels: list, keys: np.ndarray) -> float:
     """The sum of the n-grams' log-probabilities: of those not found, the context's weight times what the order below gives."""
     total = np.zeros(len(keys))
@@ -214,23 +295,21 @@ def log_probability(levels: list, keys: np.ndarray) -> float:
     return float(total.sum())
 
 
-def score(levels: list | None, text: str, number: int = 0, shards: int = 1) -> float:
-    if levels is None:
+def score(shards: list[Levels] | None, text: str) -> float:
+    """The log-probability of a text's characters; 0 without a model."""
+    if shards is None:
         return 0.0
     total = 0.0
-    for keys in grams(text, len(levels)):
-        if shards > 1:
-            keys = keys[shard_number(keys, len(levels), shards) == number]
-        if len(keys):
-            total += log_probability(levels, keys)
+    for keys in grams(text, len(shards[0])):
+        number = shard_number(keys, len(shards[0]), len(shards)) if len(shards) > 1 else np.zeros(len(keys), np.int64)
+        order = np.argsort(number, kind="stable") if len(shards) > 1 else np.arange(len(keys))
+        ends = np.searchsorted(number[order], np.arange(len(shards) + 1))
+        for k, (a, b) in enumerate(zip(ends, ends[1:], strict=False)):
+            if b > a:
+                total += log_probability(shards[k], keys[order[a:b]])
     return total
 
 
-class Model(NamedTuple):
-    shards: list[Shard]
-    order: int = ORDER
-
-
 def language() -> object:
     return F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang")
 
@@ -247,30 +326,22 @@ def half(n: int) -> object:
 def train(docs: DataFrame, labels: DataFrame, order: int = ORDER, shard_rows: int = SHARD_ROWS) -> Model:
     """The model of the first half of the trusted documents."""
     texts = docs.where(half(0)).select("doc_id", language(), text_or_empty()).join(trusted_ids(labels).hint("merge"), "doc_id", "left_semi")
-    model = estimate(counts(texts, order), order)
-    return Model(shards_of(model, order, shard_rows), order)
+    return saved(estimate(counts(texts, order), order), order, shard_rows)
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with two columns more: _chars, and _logp, the log-probability of its characters (null without a model)."""
-    names, sc = docs.columns, docs.sparkSession.sparkContext
-    out = docs.withColumns({"_chars": F.lit(0).cast("long"), "_logp": F.lit(None).cast("double")})
+def scored(docs: DataFrame, model: Model, chars: str = "chars", logp: str = "logp") -> DataFrame:
+    """docs with two columns more: how many characters a text has, and their log-probability (null without a model)."""
+    names = docs.columns
     at = names.index("lang"), names.index("text")
-    for shard in model.shards:
-        sent = sc.broadcast(shard)
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            own = sent.value
-            for b in batches:
-                langs, texts, logp = (b.column(i).to_pylist() for i in (*at, len(names) + 1))
-                sums = []
-                for lang, text, so_far in zip(langs, texts, logp, strict=True):
-                    levels = own.levels.get(lang or "")
-                    sums.append(so_far if levels is None else (so_far or 0.0) + score(levels, text or "", own.number, own.shards))
-                yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array([len(t or "") for t in texts], pa.int64()), pa.array(sums, pa.float64())], [*names, "_chars", "_logp"])
-
-        out = by_batch(out, run, out.schema)
-    return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels = levels_of(model)
+        for b in batches:
+            langs, texts = (b.column(i).to_pylist() for i in at)
+            sums = [None if (own := levels.get(lang or "")) is None else score(own, text or "") for lang, text in zip(langs, texts, strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([len(t or "") for t in texts], pa.int64()), pa.array(sums, pa.float64())], [*names, chars, logp])
+
+    return by_batch(docs, run, docs.withColumns({chars: F.lit(0).cast("long"), logp: F.lit(None).cast("double")}).schema)
 
 
 class Thresholds(NamedTuple):
@@ -278,46 +349,42 @@ class Thresholds(NamedTuple):
 
     rows: list[tuple[str, float, float]]
 
-    def frame(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(self.rows, "_lang string, mean double, threshold double")
-
-
-def thresholds(docs: DataFrame, labels: DataFrame, model: Model, quantile: float = QUANTILE, prior: int = PRIOR) -> Thresholds:
-    """By the scores of the second half of the trusted documents. docs: as `scored` gives them, or texts to be scored."""
-    held = docs.where(half(1))
-    if "_logp" not in docs.columns:
-        held = scored(held.select("doc_id", language(), text_or_empty()).join(trusted_ids(labels), "doc_id", "left_semi"), model)
-    else:
-        held = held.join(trusted_ids(labels), "doc_id", "left_semi")
-    seen = cut(held.where("_logp is not null").select(language(), "_chars", "_logp"))
-    means = seen.groupBy("lang").agg((-F.sum("_logp") / F.greatest(F.sum("_chars"), F.lit(1))).alias("mean"))
-    each = seen.join(means, "lang").withColumn("score", own_score(prior))
-    rows = each.groupBy("lang").agg(F.first("mean").alias("mean"), F.percentile_approx("score", quantile, 10_000).alias("threshold")).orderBy("lang").collect()
-    return Thresholds([tuple(r) for r in rows])
+    def frame(self, spark: SparkSession, *names: str) -> DataFrame:
+        lang, mean, threshold = names
+        return spark.createDataFrame(self.rows, f"{lang} string, {mean} double, {threshold} double")
 
 
-def own_score(prior: int, mean: str = "mean") -> object:
-    return (-F.col("_logp") + prior * F.col(mean)) / (F.col("_chars") + prior)
+def thresholds(rows: DataFrame, labels: DataFrame, quantile: float = QUANTILE, prior: int = PRIOR) -> Thresholds:
+    """By the scores of the second half of the trusted documents. rows: doc_id, lang, chars, logp, of all documents or of these."""
+    held = rows.where(half(1)).join(trusted_ids(labels), "doc_id", "left_semi")
+    seen = cut(held.where("logp is not null").select(language(), "chars", "logp"))
+    means = seen.groupBy("lang").agg((-F.sum("logp") / F.greatest(F.sum("chars"), F.lit(1))).alias("mean")).collect()  # a row a language
+    each = seen.join(F.broadcast(rows.sparkSession.createDataFrame(means, "lang string, mean double")), "lang").withColumn("score", own_score(prior, "chars", "logp", "mean"))
+    found = each.groupBy("lang").agg(F.first("mean").alias("mean"), F.percentile_approx("score", quantile, 10_000).alias("threshold")).orderBy("lang").collect()
+    return Thresholds([tuple(r) for r in found])
 
 
-def judged(rows: DataFrame, limits: Thresholds, prior: int = PRIOR) -> DataFrame:
-    """Scored rows with _perplexity, _score, _threshold, _keep."""
-    t = limits.frame(rows.sparkSession).select("_lang", F.col("mean").alias("_mean"), F.col("threshold").alias("_threshold"))
-    both = rows.join(F.broadcast(t), F.coalesce(F.col("lang").cast("string"), F.lit("")) == F.col("_lang"), "left")
-    keep = F.coalesce(own_score(prior, "_mean") <= F.col("_threshold"), F.lit(True)) | (F.col("_chars") == 0)
-    return both.withColumns({"_perplexity": F.when(F.col("_chars") > 0, F.exp(-F.col("_logp") / F.col("_chars"))), "_score": own_score(prior, "_mean"), "_keep": keep})
+def own_score(prior: int, chars: str, logp: str, mean: str) -> object:
+    return (-F.col(logp) + prior * F.col(mean)) / (F.col(chars) + prior)
 
 
 def classified(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE, prior: int = PRIOR, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """doc_id, lang, chars, perplexity, score, threshold, keep of every row of docs."""
     model = train(docs, labels, order, shard_rows)
-    rows = cut(scored(docs.select("doc_id", F.col("lang").cast("string").alias("lang"), text_or_empty()), model).select("doc_id", "lang", "_chars", "_logp"))
-    out = judged(rows, thresholds(rows, labels, model, quantile, prior), prior)
-    return out.select("doc_id", "lang", *[F.col(f"_{c}").alias(c) for c in ("chars", "perplexity", "score", "threshold", "keep")])
+    rows = cut(scored(docs.select("doc_id", F.col("lang").cast("string").alias("lang"), text_or_empty()), model).select("doc_id", "lang", "chars", "logp"))
+    limits = thresholds(rows, labels, quantile, prior).frame(docs.sparkSession, "own", "mean", "threshold")
+    both = rows.join(F.broadcast(limits), F.coalesce("lang", F.lit("")) == F.col("own"), "left").withColumn("score", own_score(prior, "chars", "logp", "mean"))
+    perplexity = F.when(F.col("chars") > 0, F.exp(-F.col("logp") / F.col("chars"))).alias("perplexity")
+    return both.select("doc_id", "lang", "chars", perplexity, "score", "threshold", (F.coalesce(F.col("score") <= F.col("threshold"), F.lit(True)) | (F.col("chars") == 0)).alias("keep"))
 
 
 def kept(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE, prior: int = PRIOR, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """The rows of docs that are not rejected, with the columns of docs. Texts are scored where they lie and not moved."""
     model = train(docs, labels, order, shard_rows)
-    limits = thresholds(docs, labels, model, quantile, prior)
-    return judged(scored(docs, model), limits, prior).where("_keep").select(docs.columns)
+    texts = docs.where(half(1)).select("doc_id", language(), text_or_empty()).join(trusted_ids(labels), "doc_id", "left_semi")
+    limits = thresholds(scored(texts, model), labels, quantile, prior)
+    chars, logp, own, mean, threshold = helpers(docs.columns, "chars", "logp", "own", "mean", "threshold")
+    limits = F.broadcast(limits.frame(docs.sparkSession, own, mean, threshold))
+    both = scored(docs, model, chars, logp).join(limits, F.coalesce(F.col("lang").cast("string"), F.lit("")) == F.col(own), "left")
+    keep = F.coalesce(own_score(prior, chars, logp, mean) <= F.col(threshold), F.lit(True)) | (F.col(chars) == 0)
+    return both.where(keep).select(docs.columns)

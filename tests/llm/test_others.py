@@ -175,17 +175,17 @@ def brute_model(texts, order):
         y = cc[1] / (cc[1] + 2 * cc[2]) if cc[1] + cc[2] else 0.5
         discount[n] = [0] + [max(min(i - (i + 1) * y * cc[i + 1] / max(cc[i], 1), i - 0.05), 0.05) for i in (1, 2, 3)]
         for k, c in counts.items():
-            total[n, k >> 6] += c
-            lost[n, k >> 6] += discount[n][min(c, 3)]
+            total[n, k >> kneser_ney.BITS] += c
+            lost[n, k >> kneser_ney.BITS] += discount[n][min(c, 3)]
 
     def p(n, k):
         if n == 0:
             return 1 / kneser_ney.CLASSES
         k &= kneser_ney.mask(n)
-        if (n, k >> 6) not in total:
+        if (n, k >> kneser_ney.BITS) not in total:
             return p(n - 1, k)
         c = level[n].get(k, 0)
-        return ((c - discount[n][min(c, 3)]) if c else 0) / total[n, k >> 6] + lost[n, k >> 6] / total[n, k >> 6] * p(n - 1, k)
+        return ((c - discount[n][min(c, 3)]) if c else 0) / total[n, k >> kneser_ney.BITS] + lost[n, k >> kneser_ney.BITS] / total[n, k >> kneser_ney.BITS] * p(n - 1, k)
 
     return p
 
@@ -193,19 +193,47 @@ def brute_model(texts, order):
 @pytest.mark.parametrize("shard_rows", [1 << 30, 40])
 def test_model_by_brute_force(spark, shard_rows):
     rnd = random.Random(4)
-    texts = ["".join(rnd.choice("abc d") for _ in range(60)) for _ in range(20)]
+    texts = ["".join(rnd.choice("abc dя") for _ in range(60)) for _ in range(20)]
     df = spark.createDataFrame([("en", t) for t in texts], "lang string, text string")
-    model = kneser_ney.estimate(kneser_ney.counts(df, 3, most=50), 3)
-    shards = kneser_ney.shards_of(model, 3, shard_rows)
-    assert (len(shards) > 1) == (shard_rows == 40)
+    model = kneser_ney.saved(kneser_ney.estimate(kneser_ney.counts(df, 3, most=50), 3), 3, shard_rows)
+    assert (model.shards > 1) == (shard_rows == 40)
     p = brute_model(texts, 3)
-    for text in [*texts[:3], "abcx!\né", "", "zzz"]:
+    levels = kneser_ney.levels_of(model)["en"]
+    for text in [*texts[:3], "abcx!\né", "", "zzz", "𝔘я"]:
         want = sum(math.log(p(3, int(k))) for g in kneser_ney.grams(text, 3) for k in g)
-        assert sum(kneser_ney.score(s.levels["en"], text, s.number, s.shards) for s in shards) == pytest.approx(want, rel=1e-4, abs=1e-4)
-    whole = [p(3, 5 << 6 | 4 << 12 | w) for w in range(64)]
+        assert kneser_ney.score(levels, text) == pytest.approx(want, rel=1e-4, abs=1e-4)
+    whole = [p(3, 5 << kneser_ney.BITS | 4 << 2 * kneser_ney.BITS | w) for w in range(kneser_ney.CLASSES)]
     assert sum(whole) == pytest.approx(1)
 
 
+def test_classified_by_brute_force(spark):
+    """Every column of the result, from models, means and quantiles that are worked out here."""
+    rnd = random.Random(12)
+    rows = [(i, "".join(rnd.choice("abcd " if rnd.random() < 0.9 else "xyz") for _ in range(rnd.randrange(0, 80))), rnd.choice(["en", "de", None])) for i in range(240)]
+    labels = [(i, int(rnd.random() < 0.8), int(rnd.random() < 0.1)) for i in range(0, 200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    first = {r["doc_id"]: r["h"] for r in docs.select("doc_id", kneser_ney.half(0).alias("h")).collect()}
+    good = {i for i, quality, toxic in labels if quality == 1 and toxic == 0}
+    got = {r["doc_id"]: r for r in kneser_ney.classified(docs, marks, order=3, quantile=0.9, shard_rows=50).collect()}
+    assert len(got) == len(rows)
+    for lang in ("en", "de", None):
+        own = [(i, t) for i, t, x in rows if x == lang]
+        p = brute_model([t for i, t in own if i in good and first[i]], 3)
+        logp = {i: sum(math.log(p(3, int(k))) for g in kneser_ney.grams(t, 3) for k in g) for i, t in own}
+        held = [(i, t) for i, t in own if i in good and not first[i]]
+        mean = -sum(logp[i] for i, _ in held) / sum(len(t) for _, t in held)
+        score = {i: (-logp[i] + kneser_ney.PRIOR * mean) / (len(t) + kneser_ney.PRIOR) for i, t in own}
+        ranked = sorted(score[i] for i, _ in held)
+        limit = ranked[math.ceil(0.9 * len(ranked)) - 1]
+        for i, t in own:
+            r = got[i]
+            assert r["chars"] == len(t) and r["score"] == pytest.approx(score[i], rel=1e-4) and r["threshold"] == pytest.approx(limit, rel=1e-4)
+            assert r["perplexity"] is None if not t else r["perplexity"] == pytest.approx(math.exp(-logp[i] / len(t)), rel=1e-3)
+            assert r["keep"] == (not t or r["score"] <= r["threshold"])
+    assert 0 < sum(not r["keep"] for r in got.values()) < 120
+
+
 def test_long_texts_in_parts(monkeypatch):
     text = "the quick brown fox " * 50
     whole = np.concatenate(list(kneser_ney.grams(text)))
@@ -227,6 +255,8 @@ def test_op6_odd(spark, odd, none):
     assert len(got) == odd.count() and all(r["keep"] for r in got if not r["chars"])
     kept = kneser_ney.kept(odd, labels)
     assert kept.columns == odd.columns and kept.count() == sum(r["keep"] for r in got)
+    clashing = odd.withColumns({"_chars": F.lit(1), "_logp": F.lit("x"), "_mean": F.lit(2), "_own": F.lit(None).cast("string"), "_threshold": F.lit(3), "__keep": F.lit(4)})
+    assert kneser_ney.kept(clashing, labels).columns == clashing.columns and kneser_ney.kept(clashing, labels).count() == kept.count()
     empty = labels.where("false")
     assert kneser_ney.classified(none, labels).count() == 0 and all(r["keep"] for r in kneser_ney.classified(odd, empty).collect())
 
