@@ -21,7 +21,7 @@ PATH = public_tokenizers.path(queries.TOKENIZER)
 
 @pytest.fixture(scope="module")
 def docs(spark, sf_dir):
-    return table(spark, sf_dir, "documents").cache()
+    return table(spark, sf_dir, "documents")
 
 
 @pytest.fixture(scope="module")
@@ -296,7 +296,7 @@ def test_targets_reshare(spark):
 
 def test_many_shards_and_the_mix_itself(spark, docs):
     by = mixing.mixed(docs, shard_rows=3).toPandas()
-    assert by["taken"].sum() == pytest.approx(by.drop_duplicates("source_size")["target"].sum(), rel=0.2) or by["taken"].sum() > 0
+    assert by["taken"].sum() == pytest.approx(by["size"].sum(), rel=0.05)
     mixed, out = mixing.mixed(docs).toPandas(), mixing.repeated(docs)
     assert out.columns == docs.columns
     words = out.groupBy("doc_id").agg(F.sum(mixing.size_of(F.col("text"))).alias("n")).toPandas().set_index("doc_id")["n"]
@@ -352,7 +352,11 @@ def test_caches_stay_small(monkeypatch):
     words, encoder = bpe.Words(bpe.Vocabulary(PATH)), records.Encoder(PATH)
     text = " ".join(f"word{i % 50}x" for i in range(500)).encode()
     assert np.array_equal(np.frombuffer(bpe.encode_text(words, text)[0], "<i4"), np.frombuffer(encoder.encode(text), "<u2"))
-    assert len(words) <= 10 and len(words.old) <= 10 and len(encoder) <= 10
+    assert len(words) <= 10 and len(words.old) <= 10
+    for i in range(50):
+        text = f"one{i} two{i % 7} three{i} " + "long" * 30
+        assert np.array_equal(np.frombuffer(bpe.encode_text(words, text.encode())[0], "<i4"), np.frombuffer(encoder.encode(text.encode()), "<u2"))
+        assert len(encoder) <= 10 and len(encoder.old) <= 50
 
 
 def test_op8(spark, sf_dir, docs, library):
@@ -381,15 +385,25 @@ def test_records_by_index_and_damage(spark, docs, tmp_path):
     counts = [r["docs"] for r in files.orderBy("file").collect()]
     assert records.read_one(folder, 1, 2) == (rows[counts[0] + 2]["doc_id"], rows[counts[0] + 2]["ids"])
     assert not [p for p in (tmp_path / "r").iterdir() if p.name.startswith("_attempt")]
-    data = bytearray((tmp_path / "r" / "part-000000.rec").read_bytes())
+    part = tmp_path / "r" / "part-000000"
+    index = bytearray(part.with_suffix(".idx").read_bytes())
+    assert len(index) == 24 * counts[0]
+    good = bytes(index)
+    for at in (0, 8):  # an offset, a length
+        index[24 + at] ^= 1
+        part.with_suffix(".idx").write_bytes(index)
+        with pytest.raises(ValueError):
+            records.read_one(folder, 0, 1)
+        with pytest.raises(Exception, match="damaged"):
+            records.read_all(folder, files).count()
+        index[24 + at] ^= 1
+    part.with_suffix(".idx").write_bytes(good)
+    data = bytearray(part.with_suffix(".rec").read_bytes())
     data[30] ^= 1
-    pieces = iter([bytes(data)])
-    import io
-
+    part.with_suffix(".rec").write_bytes(data)
     with pytest.raises(ValueError):
-        f = io.BytesIO(next(pieces))
-        while records.unframed(f.read) is not None:
-            pass
+        records.read_one(folder, 0, 0)
+    assert records.read_one(folder, 0, 1)
 
 
 def test_tokens_odd(odd, none, library):
