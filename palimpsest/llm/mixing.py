@@ -3,13 +3,13 @@
 Sources, in code-point order with null last, weigh `weights`, repeating, and share all words; a target stops
 at `most` times its source's size, and the excess is shared among the others by weight until none is above.
 Blocks of `block` words go to sources by highest quotients target / (2 seats + 1), then a source's blocks go
-to its shards (documents dealt by a hash of their id, some thousands each) in the same way, by the shards' sizes. A
+to its shards (documents dealt by a hash of their id and text, some thousands each) in the same way, by the shards' sizes. A
 shard's documents stand in seeded order on a line of words; whole passes take the line once each, and the
 blocks that are left are a run of neighbours from a seeded block on, round the line's end. So no block is
 ever a row, and a hot source is many shards.
 
 Defined results: null and empty texts have size 0 and nothing is taken of them; a null source is a source;
-rows that share a doc_id stand side by side; reruns agree; an empty table gives no rows. Columns of the
+rows that share a doc_id are dealt by their texts, and rows that repeat stand side by side; reruns agree; an empty table gives no rows. Columns of the
 input keep their names, and helper columns start with an underscore.
 """
 
@@ -24,6 +24,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS, MOST, BLOCK, SHARD_ROWS, SEED = (5, 2, 1), 3, 32, 4096, "42"
 
 
+def text_digest(text: Column = None) -> Column:
+    """What tells the texts of one id apart."""
+    return F.md5(F.encode(F.coalesce(F.col("text") if text is None else text, F.lit("")), "UTF-8")).alias("_text")
+
+
 def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
@@ -70,11 +75,11 @@ def targets(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOS
 
 
 def plan(rows: DataFrame, weights: tuple[int, ...], most: int, block: int, shard_rows: int, seed: str) -> tuple[DataFrame, DataFrame]:
-    """The sources with target and quota, and the shards with theirs, for rows (doc_id, source, size)."""
+    """The sources with target and quota, and the shards with theirs, for rows (doc_id, source, size, _text)."""
     s = targets(rows, weights, most).withColumn("_all", F.lit(0))
     s = s.withColumn("_house", F.floor(F.sum("target").over(Window.partitionBy("_all")) / block + 0.5))
     s = cut(sainte_lague(s, ["_all"], "_rank", "target", "_house", "_quota").withColumn("_shards", F.ceil(F.col("_docs") / shard_rows)).select("_source", "_rank", "source_size", "target", "_quota", "_shards"))
-    shards = placed(rows.select("doc_id", "source", "size"), s, seed).groupBy("_rank", "_shard").agg(F.sum("size").alias("_words"), F.first("_quota").alias("_quota"))
+    shards = placed(rows.select("doc_id", "source", "size", "_text"), s, seed).groupBy("_rank", "_shard").agg(F.sum("size").alias("_words"), F.first("_quota").alias("_quota"))
     shards = sainte_lague(shards, ["_rank"], "_shard", "_words", "_quota", "_blocks")
     whole = F.ceil(F.col("_words") / block).cast("long")
     shards = shards.select("_rank", "_shard", "_words", whole.alias("_whole"), F.least("_blocks", most * whole).alias("_blocks"))
@@ -85,15 +90,15 @@ def plan(rows: DataFrame, weights: tuple[int, ...], most: int, block: int, shard
 
 def placed(rows: DataFrame, sources: DataFrame, seed: str) -> DataFrame:
     """rows with those columns of their source that start with an underscore, its size and target, their shard and their digest."""
-    digest = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    digest = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("_text")))
     both = rows.join(sources, F.col("source").eqNullSafe(F.col("_source"))).withColumn("_digest", digest)
     return both.withColumn("_shard", dealt(F.col("_digest"), 1) % F.col("_shards"))
 
 
 def mix(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, block: int = BLOCK, shard_rows: int = SHARD_ROWS, seed: str = SEED, sized: DataFrame | None = None) -> DataFrame:
-    """rows (doc_id, source, size, and any others) with source_size, target, taken: the words that the mix takes of each, and _from, the word of it at which what is taken beyond whole passes starts.
+    """rows (doc_id, source, size, _text, and any others) with source_size, target, taken: the words that the mix takes of each, and _from, the word of it at which what is taken beyond whole passes starts.
 
-    sized: rows (doc_id, source, size) of the same table, if that is cheaper to read again.
+    sized: rows (doc_id, source, size, _text) of the same table, if that is cheaper to read again.
     """
     s, shards = plan(sized if sized is not None else rows, weights, most, block, shard_rows, seed)
     keep = [*rows.columns, "source_size", "target", "_rank", "_shard", "_digest"]
@@ -112,16 +117,16 @@ def mix(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, b
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """doc_id, size, source_size, target, taken of every row of docs."""
-    rows = cut(docs.select("doc_id", "source", size_of(F.col("text")).alias("size")))
+    rows = cut(docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), text_digest()))
     return mix(rows, **options).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def repeated(docs: DataFrame, **options) -> DataFrame:
     """The mix itself, with the columns of docs: each document as often as whole passes take it, and once more what a run of blocks takes of it (all of it but at a run's ends)."""
     names = docs.columns
-    sized = cut(docs.select("doc_id", "source", size_of(F.col("text")).alias("size")))
+    sized = cut(docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), text_digest()))
     others = [c for c in names if c not in ("doc_id", "source", "text", "n_chars")]
-    rows = docs.select("doc_id", "source", "text", size_of(F.col("text")).alias("size"), *[F.col(c).alias(f"_other_{c}") for c in others])
+    rows = docs.select("doc_id", "source", "text", size_of(F.col("text")).alias("size"), text_digest(), *[F.col(c).alias(f"_other_{c}") for c in others])
     rows = mix(rows, sized=sized, **options).where("taken > 0")
     copies = F.expr("cast(taken div size as int)")
     part = F.col("taken") % F.col("size")

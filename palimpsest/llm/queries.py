@@ -123,9 +123,10 @@ def sql_number(digest: str) -> str:
     return f"CAST('0x' || substr({digest}, 1, 8) AS BIGINT)"
 
 
+SQL_DIGEST = f"md5('{mixing.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || r.t)"
 #: Quotients of all blocks are ranked here, where the operator ranks only those in doubt.
 OP7_SQL = f"""
-WITH r AS (SELECT row_number() OVER () AS n, doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+WITH r AS (SELECT row_number() OVER () AS n, doc_id, source, md5(coalesce(text, '')) AS t, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size FROM documents),
 a AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS docs, row_number() OVER (ORDER BY source NULLS LAST) AS k FROM r GROUP BY source),
 b AS (SELECT *, CASE (k - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w, 3 * source_size AS cap FROM a),
 c AS (SELECT *, coalesce(sum(cap) OVER o, 0) AS cb, coalesce(sum(w) OVER o, 0) AS wb, sum(source_size) OVER () AS t, sum(w) OVER () AS ws FROM b WINDOW o AS (ORDER BY cap / w, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
@@ -134,7 +135,7 @@ e AS (SELECT *, t - coalesce(sum(cap) FILTER (is_full) OVER (), 0) AS rest, ws -
 s AS (SELECT source, k, source_size, CAST(ceil(docs / {mixing.SHARD_ROWS}) AS BIGINT) AS shards, CASE WHEN is_full THEN cap::DOUBLE ELSE (w * rest)::DOUBLE / wl::DOUBLE END AS target FROM e),
 q AS (SELECT k, count(*) AS quota FROM (SELECT k FROM (SELECT k, target, unnest(range(0, CAST(target / {mixing.BLOCK} AS BIGINT) + 4)) AS j FROM s) WHERE target > 0
     QUALIFY row_number() OVER (ORDER BY target / (2 * j + 1) DESC, k, j) <= (SELECT floor(sum(target) / {mixing.BLOCK} + 0.5) FROM s)) GROUP BY k),
-p AS (SELECT r.*, s.k, s.source_size, s.target, md5('{mixing.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS h, {sql_number(f"md5('{mixing.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null'))")} % s.shards AS shard FROM r JOIN s ON r.source IS NOT DISTINCT FROM s.source),
+p AS (SELECT r.*, s.k, s.source_size, s.target, {SQL_DIGEST} AS h, {sql_number(SQL_DIGEST)} % s.shards AS shard FROM r JOIN s ON r.source IS NOT DISTINCT FROM s.source),
 g AS (SELECT k, shard, CAST(sum(size) AS BIGINT) AS words FROM p GROUP BY k, shard),
 u AS (SELECT k, shard, count(*) AS blocks FROM (SELECT k, shard FROM (SELECT g.k, shard, words, coalesce(quota, 0) AS quota, unnest(range(0, 3 * CAST(words / {mixing.BLOCK} AS BIGINT) + 8)) AS j FROM g LEFT JOIN q USING (k)) WHERE words > 0
     QUALIFY row_number() OVER (PARTITION BY k ORDER BY words / (2 * j + 1) DESC, shard, j) <= quota) GROUP BY k, shard),

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import by_batch, cut, text_or_empty, word_lists
+from palimpsest.llm.common import by_batch, cut, helpers, text_or_empty, word_lists
 
 BITS, SEED = 64, 42
 
@@ -173,8 +173,18 @@ def links(fps: DataFrame, radius: int, tree_size: int = 4096) -> DataFrame:
     return tree_links(fps.select(F.explode(parts).alias("shard"), F.col("fp").alias("node"), F.unhex(F.lpad(F.hex("fp"), 16, "0")).alias("code")), radius, tree_size)
 
 
+#: Parts in which the rows of one key meet its value.
+SALTS = 8
+
+
+def salted_join(many: DataFrame, one: DataFrame, key: str, by: str, salts: int = SALTS) -> DataFrame:
+    """many joined with one (a row for each key), the rows of a key dealt over several tasks by a hash of `by`."""
+    parts = one.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return many.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int")).join(parts, [key, "_salt"]).drop("_salt")
+
+
 def components(pairs: DataFrame) -> DataFrame:
-    """node, root: the smallest node reachable, for every node of the pairs (a, b). Large-star and small-star rounds, each cut from its lineage, until nothing changes."""
+    """node, root: the smallest node reachable, for every node of the pairs (a, b) but the roots. Large-star and small-star rounds, each cut from its lineage, until nothing changes."""
     edges = cut(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct())
     seen = None
     while True:
@@ -184,9 +194,9 @@ def components(pairs: DataFrame) -> DataFrame:
         seen = tuple(now)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        large = salted_join(both.where("v > u"), least, "u", "v").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e")).select("e.u", F.col("e.m").alias("v"))
+        small = salted_join(large, least, "u", "v").select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e")).select("e.u", F.col("e.m").alias("v"))
         edges = cut(small.where("u > v").distinct())
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
@@ -349,19 +359,22 @@ def near_texts(docs: DataFrame, width: int = 5, likeness: float = 0.8, words: in
 
 def in_components(rows: DataFrame, groups: DataFrame, pairs: DataFrame) -> DataFrame:
     """rows (doc_id, fp) with component_id and root, a node. groups: fp, first (its smallest doc_id)."""
-    roots = components(pairs).withColumnsRenamed({"node": "fp"})
-    groups = groups.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = groups.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rows.join(groups.join(least, "root").select("fp", "component_id", "root"), "fp")
+    linked = components(pairs)
+    members = linked.union(linked.select(F.col("root").alias("node"), "root").distinct())
+    firsts = members.join(groups.select(F.col("fp").alias("node"), "first"), "node")
+    least = firsts.groupBy("root").agg(F.min("first").alias("least"))
+    named = salted_join(members, least, "root", "node").select(F.col("node").alias("fp"), "least", "root")
+    groups = groups.join(named, "fp", "left").select("fp", F.when(F.col("root").isNull(), F.col("first")).otherwise(F.col("least")).alias("component_id"), F.coalesce("root", "fp").alias("root"))
+    return rows.join(groups, "fp")
 
 
 def keep_one(docs: DataFrame, found: DataFrame) -> DataFrame:
     """docs, with one row of each component of found (doc_id, root, text_hash): that of the smallest doc_id, null last; of rows that share it, the one whose text hashes lowest."""
-    at = [F.col("doc_id").isNull().alias("_null"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.col("text_hash").alias("_hash")]
-    key = ["_null", "_id", "_hash"]
+    names = docs.columns
+    key, number = (own := helpers(names, "null", "id", "hash", "row"))[:3], own[3]
+    at = [c.alias(k) for c, k in zip((F.col("doc_id").isNull(), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text_hash")), key, strict=True)]
     least = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "text_hash")).alias("least"))
     kept = least.select("least.*").select(*at)
-    names = docs.columns
-    rows = docs.select("*", text_hash()).select(*names, *at).join(kept, key, "left_semi")
+    rows = docs.select("*", *at[:2], text_hash().alias(key[2])).join(kept, key, "left_semi")
     w = Window.partitionBy(*key).orderBy(F.xxhash64(*names))
-    return rows.withColumn("_row", F.row_number().over(w)).where("_row = 1").select(*names)
+    return rows.withColumn(number, F.row_number().over(w)).where(F.col(number) == 1).select(*names)

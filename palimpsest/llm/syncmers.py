@@ -18,15 +18,16 @@ itself. An empty table gives no rows; other columns are left out whatever their
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import by_batch, text_or_empty
+from palimpsest.llm.common import by_batch, cut, text_or_empty
 
 K, S, SIZE = 24, 8, 128
 #: Code points hashed at once, so that a very long text needs little memory.
@@ -141,23 +142,31 @@ def with_anchors(docs: DataFrame, k: int = K, s: int = S) -> DataFrame:
     return by_batch(docs.select("doc_id", text_or_empty()), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, anchors array<struct<at: long, hash: long>>")
 
 
+def bucket_of(place: Column, heads: list[tuple], kind: str) -> Column:
+    """How many of the heads but the first, in falling order, come at or before a place: a binary search."""
+    text = json.dumps([{"doc_id": d, "h": h} for d, h in heads[1:]])
+    bounds = F.from_json(F.lit(text), f"array<struct<doc_id: {kind}, h: long>>")
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(heads).bit_length()))])
+    there = lambda n: (n <= len(heads) - 1) & (F.get(bounds, F.least(n, F.lit(len(heads) - 1)) - 1) >= place)
+    return F.aggregate(steps, F.lit(0), lambda n, step: F.when(there(n + step), n + step).otherwise(n))
+
+
 def in_succession(docs: DataFrame, rows: int = 4096, most_buckets: int = 20_000) -> DataFrame:
     """bucket, guest, doc_id, h, text: buckets of neighbouring documents, in order, each with a guest after its last: the first document of the next bucket.
 
-    The ids that part the buckets are quantiles, `most_buckets` at most, so what the driver holds is bounded. Texts
-    move once, and only one text a bucket is read a second time.
+    Ids and the hashes of texts alone are dealt by ranges first, so that rows which share an id fall into several buckets. What the
+    driver holds is a head a bucket, `most_buckets` at most. Texts move once, and only one text a bucket is read a second time.
     """
     ids = docs.select("doc_id", text_or_empty()).withColumn("h", F.xxhash64("text"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
     n = min(most_buckets, max(1, -(-docs.count() // rows)))
-    bounds = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10 * n)).first()[0] if n > 1 else []
-    bounds = sorted(set(bounds or []), reverse=True)
-    below = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda x: F.col("doc_id") < x)) if bounds else F.lit(0)
-    placed = ids.withColumn("bucket", F.when(F.col("doc_id").isNull(), len(bounds)).otherwise(below))
-    heads = placed.groupBy("bucket").agg(F.max(F.struct("doc_id", "h")).alias("head")).orderBy("bucket").collect()
+    ranges = cut(ids.select("doc_id", "h").repartitionByRange(n, F.desc_nulls_last("doc_id"), F.desc("h")).withColumn("part", F.spark_partition_id()))
+    heads = [tuple(r["head"]) for r in ranges.groupBy("part").agg(F.max(F.struct("doc_id", "h")).alias("head")).orderBy("part").collect()]
     if not heads:
-        return placed.withColumn("guest", F.lit(False))
-    after = [(r["bucket"], *heads[(i + 1) % len(heads)]["head"]) for i, r in enumerate(heads)]
-    guests = docs.sparkSession.createDataFrame(after, f"bucket int, _id {docs.schema['doc_id'].dataType.simpleString()}, _h long")
+        return ids.select(F.lit(0).alias("bucket"), F.lit(False).alias("guest"), "doc_id", "h", "text")
+    placed = ids.withColumn("bucket", bucket_of(F.struct("doc_id", "h"), heads, kind) if len(heads) > 1 else F.lit(0))
+    after = [(i, *heads[(i + 1) % len(heads)]) for i in range(len(heads))]
+    guests = docs.sparkSession.createDataFrame(after, f"bucket int, _id {kind}, _h long")
     guests = ids.join(F.broadcast(guests), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")))
     names = ["bucket", "guest", "doc_id", "h", "text"]
     both = placed.withColumn("guest", F.lit(False)).select(names).union(guests.withColumn("guest", F.lit(True)).select(names))

@@ -92,6 +92,16 @@ def test_succession_over_many_buckets(spark):
         assert [d for g, d in heads[b] if g] == [max(d for g, d in after if not g)]
 
 
+def test_succession_of_shared_ids(spark):
+    """Rows without an id and rows of one id are spread over buckets, and still follow one another in order."""
+    rnd = random.Random(13)
+    rows = [(rnd.choice([None, 7, rnd.randrange(40)]), f"text {rnd.randrange(400)}") for _ in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["h"], r["bucket"]) for r in syncmers.in_succession(df, rows=30).collect() if not r["guest"])
+    assert len(got) == 900 and len({g[3] for g in got if not g[0]}) > 3 and len({g[3] for g in got if g[:2] == (True, 7)}) > 3
+    assert [g[3] for g in got] == sorted((g[3] for g in got), reverse=True)
+
+
 def test_op1_odd(odd, none):
     got = syncmers.fingerprints(odd).collect()
     assert len(got) == odd.count() and syncmers.fingerprints(none).count() == 0
