@@ -32,7 +32,10 @@ RULES = [
     urlrules.Rule("net", "/fr/", "block"),
 ]
 #: For URLs that no rule fits.
-PATTERNS = [urlrules.Rule("*", f"*/{word}/", "block") for word in ("ads", "cgi-bin", "login")]
+PATTERNS = [
+    urlrules.Rule("*", f"*/{word}/", "block")
+    for word in "ads adserver banners cart cgi-bin checkout feed forgot-password login logout password-reset print redirect register search session share signup tracking wp-admin wp-login".split()
+]
 
 
 def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
