@@ -8,10 +8,10 @@ model has seen. A document is rejected if its score is above the threshold of it
 
 Counts are summed by (language, n-gram); those of lower orders are continuation counts of the order above;
 discounts come from the counts of counts; and each order's probabilities join those of the order below on the
-n-gram's suffix. The finished model is dealt into shards by the two symbols before an n-gram's last, which hold
-every order above the second that one lookup needs. Executors write each shard (of at most `shard_rows` rows, but for
-what hashing leaves uneven) as a file of the shared folder, and map the files into memory to score texts where they lie:
-neither the driver nor a broadcast holds any of the model, and pages of a mapped file are given back when memory is short.
+n-gram's suffix. The finished model is dealt into shards by ranges of (language, order, context), of about `shard_rows`
+rows each. Executors write each as a file of the shared folder, and map them, one behind the other, into memory to score
+texts where they lie: neither the driver nor a broadcast holds any of the model, and pages of a mapped file are given back
+when memory is short.
 
 A score is a document's mean negative log-probability per character, with `prior` characters of the
 language's mean added, so that a few characters decide nothing.
@@ -44,7 +44,7 @@ from palimpsest.sources.objects import replaced, store
 
 ORDER, QUANTILE, PRIOR = 5, 0.99, 50
 #: Rows of the model in one file, 24 bytes each.
-SHARD_ROWS = 2_000_000
+SHARD_ROWS = 1 << 16
 BITS, CLASSES = 12, 4096
 #: Code points of a text that are counted or scored at once.
 PART = 1 << 20
@@ -171,57 +171,36 @@ def estimate(top: DataFrame, order: int = ORDER) -> DataFrame:
     return model
 
 
-def shard_number(key, n: int, shards: int):
-    """The shard of an n-gram of order 3 or more, by the two symbols before its last."""
-    two = key >> BITS & mask(2)
-    return (two * 40503 >> 4) % shards
-
-
 class Model(NamedTuple):
-    """The shards' files, by number (-1: orders 1 and 2), how many shards there are, and the order."""
+    """The folder of the shards' files, their numbers in order, and the order of the model."""
 
     folder: str
     numbers: tuple[int, ...]
-    shards: int
     order: int = ORDER
 
 
-#: Of a language: for each order the sorted n-grams, their probabilities, the sorted contexts, their weights.
+#: Of a language: for each order the sorted n-grams, the sorted contexts, the probabilities, the contexts' weights.
 Levels = list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
-NONE = (np.empty(0, np.int64), np.empty(0, np.float32), np.empty(0, np.int64), np.empty(0, np.float32))
+KINDS = ("<i8", "<i8", "<f4", "<f4")
 
 
 def saved(model: DataFrame, order: int = ORDER, shard_rows: int = SHARD_ROWS) -> Model:
     """Writes the model's shards, each by one task, which holds no more than that."""
-    spark = model.sparkSession
-    folder = own_folder(spark, "model")
+    folder = own_folder(model.sparkSession, "model")
     shards = max(1, -(-model.count() // shard_rows))
-    two = F.shiftright("key", BITS).bitwiseAND(mask(2))
-    number = F.when(F.col("n") < 3, -1).otherwise(F.shiftright(two * 40503, 4) % shards).cast("int")
-    dealt = model.withColumn("shard", number).repartition(shards + 1, "shard").sortWithinPartitions("shard", "lang", "n", "key").select("shard", "lang", "n", "key", "p", "gamma")
+    dealt = model.repartitionByRange(shards, "lang", "n", F.shiftright("key", BITS)).sortWithinPartitions("lang", "n", "key").select("lang", "n", "key", "p", "gamma")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        done = []
-        for b in batches:
-            at = b.column(0).to_numpy()
-            for part in np.split(np.arange(len(at)), np.flatnonzero(np.diff(at)) + 1):
-                if held and held[0].column(0)[0].as_py() != at[part[0]]:
-                    done.append(write_shard(folder, held))
-                    held = []
-                held.append(b.slice(part[0], len(part)))
-        if held:
-            done.append(write_shard(folder, held))
-        yield pa.RecordBatch.from_arrays([pa.array(done, pa.int32())], ["shard"])
-
-    numbers = sorted(r[0] for r in by_batch(dealt, run, "shard int", rows=65_536).collect())
-    return Model(folder, tuple(numbers), shards, order)
-
-
-def write_shard(folder: str, held: list[pa.RecordBatch]) -> int:
-    """One file: arrays one behind the other, and at its end a list of where each begins."""
-    table = pa.Table.from_batches(held)
-    number, lang, n = table.column("shard")[0].as_py(), table.column("lang").to_numpy(), table.column("n").to_numpy()
+        if held := [b for b in batches if b.num_rows]:
+            write_shard(folder, TaskContext.get().partitionId(), pa.Table.from_batches(held))
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32())], ["shard"])
+
+    return Model(folder, tuple(sorted(r[0] for r in by_batch(dealt, run, "shard int", rows=65_536).collect())), order)
+
+
+def write_shard(folder: str, number: int, table: pa.Table) -> None:
+    """One file: of each language and order its arrays one behind the other, and at the end a list of where they begin."""
+    lang, n = table.column("lang").to_numpy(), table.column("n").to_numpy()
     to, at = store(folder)
     to.create_dir(at, recursive=True)
     own, offset, index = f"{at}/_attempt-{number}-{TaskContext.get().taskAttemptId()}", 0, []
@@ -231,53 +210,52 @@ def write_shard(folder: str, held: list[pa.RecordBatch]) -> int:
             part = table.slice(a, b - a)
             keys, p, gamma = (part.column(c).to_numpy() for c in ("key", "p", "gamma"))
             contexts, first = np.unique(keys >> BITS, return_index=True)
-            sizes = []
-            for x in (keys.astype("<i8"), contexts.astype("<i8"), p.astype("<f4"), gamma[first].astype("<f4")):
-                out.write(x.tobytes())
-                sizes.append(len(x))
-            out.write(bytes(-sum(sizes[2:]) * 4 % 8))
-            index.append((lang[a], int(n[a]), offset, sizes[0], sizes[1]))
-            offset += sum(sizes[:2]) * 8 + (sum(sizes[2:]) * 4 + 7) // 8 * 8
+            index.append((lang[a], int(n[a]), offset, len(keys), len(contexts)))
+            for x, kind in zip((keys, contexts, p, gamma[first]), KINDS, strict=True):
+                out.write(raw := x.astype(kind).tobytes())
+                offset += len(raw)
         tail = json.dumps(index).encode()
         out.write(tail + len(tail).to_bytes(8, "little"))
     replaced(to, own, f"{at}/shard-{number}")
-    return number
 
 
-def read_shard(folder: str, number: int) -> dict[str, dict[int, tuple]]:
-    """A shard's arrays by language and order, mapped from a file of this process that has no name any more."""
-    frm, at = store(folder)
+@lru_cache(maxsize=1)
+def levels_of(model: Model) -> dict[str, Levels]:
+    """Of each language its levels, mapped from a file of this process that has no name any more; once a process."""
+    frm, at = store(model.folder)
+    parts: dict[tuple[str, int], list[tuple[int, int, int, int]]] = {}
+    for number in model.numbers:
+        with frm.open_input_file(f"{at}/shard-{number}") as f:
+            size = int.from_bytes(f.read_at(8, f.size() - 8), "little")
+            for lang, n, offset, keys, contexts in json.loads(f.read_at(size, f.size() - 8 - size)):
+                parts.setdefault((lang, n), []).append((number, offset, keys, contexts))
     handle, name = tempfile.mkstemp(prefix="palimpsest-")
+    ends: dict[tuple[str, int], list[int]] = {}
     try:
-        with os.fdopen(handle, "wb") as out, frm.open_input_stream(f"{at}/shard-{number}") as f:
-            while some := f.read(1 << 20):
-                out.write(some)
-        raw = np.memmap(name, np.uint8, "r")
+        with os.fdopen(handle, "wb") as out:
+            for key, found in parts.items():
+                ends[key] = [out.tell()]
+                for i in range(4):
+                    for number, offset, keys, contexts in found:
+                        sizes = [8 * keys, 8 * contexts, 4 * keys, 4 * contexts]
+                        with frm.open_input_file(f"{at}/shard-{number}") as f:
+                            out.write(f.read_at(sizes[i], offset + sum(sizes[:i])))
+                    ends[key].append(out.tell())
+                out.write(bytes(-out.tell() % 8))
+        raw = np.memmap(name, np.uint8, "r") if parts else np.empty(0, np.uint8)
     finally:
         os.unlink(name)
-    size = int.from_bytes(raw[-8:].tobytes(), "little")
-    out: dict[str, dict[int, tuple]] = {}
-    for lang, n, offset, keys, contexts in json.loads(raw[-8 - size : -8].tobytes()):
-        ends = np.cumsum([offset, 8 * keys, 8 * contexts, 4 * keys, 4 * contexts])
-        k, c, p, g = (raw[a:b].view(kind) for a, b, kind in zip(ends, ends[1:], ("<i8", "<i8", "<f4", "<f4"), strict=False))
-        out.setdefault(lang, {})[n] = (k, p, c, g)
-    return out
-
-
-@lru_cache(maxsize=1)
-def levels_of(model: Model) -> dict[str, list[Levels]]:
-    """Of each language the levels in every shard; once a process."""
-    got = {k: read_shard(model.folder, k) for k in model.numbers}
-    base = got.get(-1, {})
-    return {lang: [[base[lang].get(n, NONE) if n < 3 else got.get(k, {}).get(lang, {}).get(n, NONE) for n in range(1, model.order + 1)] for k in range(model.shards)] for lang in base}
+    none = tuple(np.empty(0, kind) for kind in KINDS)
+    arrays = {key: tuple(raw[a:b].view(kind) for a, b, kind in zip(e, e[1:], KINDS, strict=False)) for key, e in ends.items()}
+    return {lang: [arrays.get((lang, n), none) for n in range(1, model.order + 1)] for lang, _ in parts}
 
 
-def log_probability(levels: list, keys: np.ndarray) -> float:
+def log_probability(levels: Levels, keys: np.ndarray) -> float:
     """The sum of the n-grams' log-probabilities: of those not found, the context's weight times what the order below gives."""
     total = np.zeros(len(keys))
     left = np.arange(len(keys))
     for n in range(len(levels), 0, -1):
-        known, p, contexts, gamma = levels[n - 1]
+        known, contexts, p, gamma = levels[n - 1]
         own = keys[left] & mask(n)
         if len(known):
             i = np.minimum(np.searchsorted(known, own), len(known) - 1)
@@ -295,19 +273,9 @@ def log_probability(levels: list, keys: np.ndarray) -> float:
     return float(total.sum())
 
 
-def score(shards: list[Levels] | None, text: str) -> float:
+def score(levels: Levels | None, text: str) -> float:
     """The log-probability of a text's characters; 0 without a model."""
-    if shards is None:
-        return 0.0
-    total = 0.0
-    for keys in grams(text, len(shards[0])):
-        number = shard_number(keys, len(shards[0]), len(shards)) if len(shards) > 1 else np.zeros(len(keys), np.int64)
-        order = np.argsort(number, kind="stable") if len(shards) > 1 else np.arange(len(keys))
-        ends = np.searchsorted(number[order], np.arange(len(shards) + 1))
-        for k, (a, b) in enumerate(zip(ends, ends[1:], strict=False)):
-            if b > a:
-                total += log_probability(shards[k], keys[order[a:b]])
-    return total
+    return 0.0 if levels is None else sum((log_probability(levels, keys) for keys in grams(text, len(levels))), 0.0)
 
 
 def language() -> object:

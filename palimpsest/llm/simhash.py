@@ -126,16 +126,25 @@ def segments(n: int, bits: int = BITS) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(at, at[1:], strict=False)]
 
 
+#: Parts in which the rows of one key meet its value.
+SALTS = 8
+
+
+def salted_join(many: DataFrame, one: DataFrame, key: str, by: str, salts: int = SALTS) -> DataFrame:
+    """many joined with one (a row for each key), the rows of a key dealt over several tasks by a hash of `by`."""
+    parts = one.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return many.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int")).join(parts, [key, "_salt"]).drop("_salt")
+
+
 def split_shards(keyed: DataFrame, tree_size: int, tree_bytes: int | None = None) -> DataFrame:
-    """keyed (shard, node, code) with tree and guest: a shard above tree_size, or whose `size` adds up to more than tree_bytes, is several trees, and a member goes to its own and, as a guest, to those after it."""
+    """keyed (shard, node, code, and others) with tree and guest, without shards of one member, which have no links: a shard above tree_size, or whose `size` adds up to more than tree_bytes, is several trees, and a member goes to its own and, as a guest, to those after it."""
     trees = F.ceil(F.count("*") / tree_size)
     if tree_bytes:
         trees = F.greatest(trees, F.ceil(F.sum("size") / tree_bytes))
-    hot = keyed.groupBy("shard").agg(trees.cast("int").alias("trees")).where("trees > 1")
-    dealt = keyed.join(hot, "shard", "left").withColumn("trees", F.coalesce("trees", F.lit(1)))
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("trees")).cast("int"))
-    dealt = dealt.select("shard", F.explode(F.sequence("own", F.col("trees") - 1)).alias("tree"), "own", "node", "code")
-    return dealt.select("shard", "tree", (F.col("tree") > F.col("own")).alias("guest"), "node", "code")
+    shards = keyed.groupBy("shard").agg(F.count("*").alias("members"), trees.cast("int").alias("trees")).where("members > 1").select("shard", "trees")
+    dealt = salted_join(keyed, shards, "shard", "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("trees")).cast("int"))
+    dealt = dealt.withColumn("tree", F.explode(F.sequence("own", F.col("trees") - 1))).withColumn("guest", F.col("tree") > F.col("own"))
+    return dealt.select(*keyed.columns, "tree", "guest")
 
 
 def tree_links(keyed: DataFrame, radius: int, tree_size: int) -> DataFrame:
@@ -163,8 +172,8 @@ def tree_links(keyed: DataFrame, radius: int, tree_size: int) -> DataFrame:
             if a_col:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (a_col, b_col)], ["a", "b"])
 
-    dealt = split_shards(keyed, tree_size).repartition("shard", "tree").sortWithinPartitions("shard", "tree", "guest", "node")
-    return by_batch(dealt, run, "a long, b long")
+    dealt = split_shards(keyed, tree_size).select("shard", "tree", "guest", "node", "code").repartition("shard", "tree")
+    return by_batch(dealt.sortWithinPartitions("shard", "tree", "guest", "node"), run, "a long, b long")
 
 
 def links(fps: DataFrame, radius: int, tree_size: int = 4096) -> DataFrame:
@@ -173,16 +182,6 @@ def links(fps: DataFrame, radius: int, tree_size: int = 4096) -> DataFrame:
     return tree_links(fps.select(F.explode(parts).alias("shard"), F.col("fp").alias("node"), F.unhex(F.lpad(F.hex("fp"), 16, "0")).alias("code")), radius, tree_size)
 
 
-#: Parts in which the rows of one key meet its value.
-SALTS = 8
-
-
-def salted_join(many: DataFrame, one: DataFrame, key: str, by: str, salts: int = SALTS) -> DataFrame:
-    """many joined with one (a row for each key), the rows of a key dealt over several tasks by a hash of `by`."""
-    parts = one.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return many.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int")).join(parts, [key, "_salt"]).drop("_salt")
-
-
 def components(pairs: DataFrame) -> DataFrame:
     """node, root: the smallest node reachable, for every node of the pairs (a, b) but the roots. Large-star and small-star rounds, each cut from its lineage, until nothing changes."""
     edges = cut(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct())
@@ -348,11 +347,10 @@ def near_texts(docs: DataFrame, width: int = 5, likeness: float = 0.8, words: in
     rows = cut(by_batch(docs.select("doc_id", text_hash(), text_or_empty()), run, f"doc_id {kind}, text_hash long, size int, node long, code binary, bands array<long>"))
     one = F.min(F.struct("text_hash", "size")).alias("one")
     texts = cut(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("code").alias("code"), F.min("bands").alias("bands"), one).select("node", "first", "code", "bands", "one.*"))
-    keyed = texts.select(F.explode("bands").alias("shard"), "node", "code", "size", "text_hash")
-    keyed = cut(keyed.join(keyed.groupBy("shard").count().where("count > 1").select("shard"), "shard"))
+    dealt = cut(split_shards(texts.select(F.explode("bands").alias("shard"), "node", "code", "size", "text_hash"), tree_size, TREE_BYTES))
     bodies = docs.select(text_hash(), text_or_empty()).groupBy("text_hash").agg(F.first("text").alias("text"))
-    bodies = bodies.join(keyed.select("text_hash", "node").distinct(), "text_hash").select("node", "text")
-    pairs = alike_links(split_shards(keyed, tree_size, TREE_BYTES).join(bodies, "node"), radius_of(likeness, 64 * words), width, likeness, seed)
+    bodies = bodies.join(dealt.select("text_hash", "node").distinct(), "text_hash").select("node", "text")
+    pairs = alike_links(dealt.join(bodies, "node"), radius_of(likeness, 64 * words), width, likeness, seed)
     found = in_components(rows.select("doc_id", "text_hash", F.col("node").alias("fp")), texts.select(F.col("node").alias("fp"), "first"), pairs)
     return found.select("doc_id", "component_id", "root", "text_hash")
 
