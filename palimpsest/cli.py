@@ -76,7 +76,7 @@ def run(args: argparse.Namespace, policy: Policy, say) -> int:
     limits = walk.Limits(depth=args.max_depth, total_bytes=args.max_expand_bytes, verify=args.verify_output, names=args.scrub_names)
     single = os.path.isfile(args.source)
     rows, _ = store.objects(spark, os.path.abspath(args.source))
-    done = walk.walked(rows.select("object_key", "content"), {"policy": policy}, "policy", limits).persist()
+    done = walk.walked(store.contents(rows), {"policy": policy}, "policy", limits).persist()
     # the files of one run make one report, in order of the objects and within them
     files = walk.files(done).withColumn("_object", F.col("object_key"))
     files = files.withColumn("seq", F.struct(F.col("_object").alias("object"), "seq")).withColumn("object_key", F.lit(os.path.abspath(args.source))).persist()
@@ -85,7 +85,7 @@ def run(args: argparse.Namespace, policy: Policy, say) -> int:
     if not args.dry_run:
         folder = os.path.abspath(args.source if args.in_place else args.out)
         named = done.withColumn("output_key", F.lit(os.path.basename(folder)) if single else F.col("object_key"))
-        store.write_objects(named, os.path.dirname(folder) if single else folder).count()
+        store.write_objects(named.where("error is null"), os.path.dirname(folder) if single else folder).count()
     if args.report:
         line = report.report_json(files, summaries, args.audit, args.salt if args.redact_report else None).first()
         with open(args.report, "w", encoding="utf-8", opener=lambda path, flags: os.open(path, flags, 0o600)) as f:
@@ -96,7 +96,12 @@ def run(args: argparse.Namespace, policy: Policy, say) -> int:
         counts = files.select(F.explode("matches").alias("m")).groupBy("m.rule").agg(F.count("*").alias("n"))
         for r in report.breakdown(counts).orderBy("place").collect():
             say(r["line"])
+    lost = [f"{r['object_key']}: {r['error']}" for r in done.where("error is not null").select("object_key", "error").limit(report.NOTES).collect()]
+    for line in lost:
+        say(f"error: {line}")
     done.unpersist()
+    if lost:
+        return 1
     if found and args.fail_on_unscrubbed and found["files_not_inspected"] > 0:
         return 3
     return 3 if found and args.fail_on_risky and found["verdict"] == "incomplete-risky" else 0

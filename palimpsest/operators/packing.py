@@ -87,15 +87,23 @@ def encoded(df: DataFrame, key: str, text: str, encoding: str, layers: tuple[str
     return df.select(F.col(key).cast("string").alias("object_key"), text).mapInArrow(run, "object_key string, content binary")
 
 
-def bundled(df: DataFrame, group: str, name: str, text: str, layers: tuple[str, ...]) -> DataFrame:
-    """object_key, content: an object a group, its rows the members of an archive, by name. A group is one bundle, and as large as that."""
+#: Rows and bytes that a bundle holds, but for what hashing leaves uneven.
+BUNDLE_ROWS, BUNDLE_BYTES = 1000, 32 << 20
+
+
+def bundled(df: DataFrame, group: str, name: str, text: str, layers: tuple[str, ...], most_rows: int = BUNDLE_ROWS, most_bytes: int = BUNDLE_BYTES) -> DataFrame:
+    """object_key, content: archives of a group's rows, by name, as many as keep each small: object_key is the group, `#` and a number."""
     ship(df.sparkSession)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         members = [(str(n), (t or "").encode()) for n, t in sorted(zip(pdf["name"], pdf["text"], strict=True))]
         return pd.DataFrame({"object_key": [pdf["object_key"].iloc[0]], "content": [packed(members, list(layers))]})
 
-    rows = df.select(F.col(group).cast("string").alias("object_key"), F.col(name).cast("string").alias("name"), F.col(text).alias("text"))
+    rows = df.select(F.coalesce(F.col(group).cast("string"), F.lit("")).alias("group"), F.col(name).cast("string").alias("name"), F.col(text).alias("text"))
+    parts = F.greatest(F.ceil(F.count("*") / most_rows), F.ceil(F.sum(F.octet_length("text")) / most_bytes), F.lit(1))
+    parts = rows.groupBy("group").agg(parts.cast("long").alias("parts"))
+    number = F.pmod(F.xxhash64("name"), F.col("parts")).cast("string")
+    rows = rows.join(parts, "group").select(F.concat_ws("#", "group", number).alias("object_key"), "name", "text")
     return rows.groupBy("object_key").applyInPandas(run, "object_key string, content binary")
 
 

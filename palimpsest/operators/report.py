@@ -37,13 +37,25 @@ def output_key(key: Column, verdict_: Column) -> Column:
     return F.when(needs_review(verdict_), F.concat(F.lit("review/"), key)).otherwise(key)
 
 
-def capped(files: DataFrame, per_file: int = FILE_MATCHES, per_report: int = REPORT_MATCHES, audit: str = "full", count: str = "match_count") -> DataFrame:
-    """files with kept (how many matches of each are listed) and matches_truncated; budgets run in file order."""
+#: Numbers of files in a row whose budgets one task adds up.
+BLOCK_FILES = 4096
+
+
+def capped(files: DataFrame, per_file: int = FILE_MATCHES, per_report: int = REPORT_MATCHES, audit: str = "full", count: str = "match_count", block: int = BLOCK_FILES) -> DataFrame:
+    """files with kept (how many matches of each are listed) and matches_truncated; budgets run in file order: within blocks of numbers, with what the blocks before have used."""
     least = F.least(F.col(count), F.lit(per_file))
-    before = Window.partitionBy("object_key").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    used = F.coalesce(F.sum(least).over(before), F.lit(0))
-    kept = F.lit(0).cast("long") if audit == "off" else F.greatest(F.least(least, per_report - used), F.lit(0)).cast("long")
-    out = files.withColumn("kept", kept)
+    if files.schema["seq"].dataType.typeName() == "struct":  # objects of a run, and the files of each
+        number = F.struct(F.col("seq.object"), F.floor(F.col("seq.seq") / block).alias("n"))
+    else:
+        number = F.struct(F.floor(F.col("seq") / block).alias("n"))
+    rows = files.withColumns({"_block": number, "_least": least})
+    used = rows.groupBy("object_key", "_block").agg(F.sum("_least").alias("_sum"))
+    before = F.coalesce(F.sum("_sum").over(Window.partitionBy("object_key").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    used = used.select(F.col("object_key").alias("_key"), F.col("_block").alias("_of"), before.alias("_before"))
+    rows = rows.join(used, F.col("object_key").eqNullSafe(F.col("_key")) & (F.col("_block") == F.col("_of")))
+    own = F.coalesce(F.sum("_least").over(Window.partitionBy("object_key", "_block").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    kept = F.lit(0).cast("long") if audit == "off" else F.greatest(F.least(F.col("_least"), per_report - F.col("_before") - own), F.lit(0)).cast("long")
+    out = rows.withColumn("kept", kept).select(*files.columns, "kept")
     return out.withColumn("matches_truncated", F.lit(audit != "off") & (F.col("kept") < F.col(count)))
 
 

@@ -29,6 +29,14 @@ def by_prefix(objects: DataFrame, prefixes: DataFrame, default: str, key: str =
     return objects.join(best, key, "left").withColumn("policy", F.coalesce("policy", F.lit(default)))
 
 
+def with_policy(objects: DataFrame, prefixes: dict[str, str], default: str) -> DataFrame:
+    """objects with policy: by a ladder of conditions, or by a join where there are many prefixes."""
+    if len(prefixes) <= MOST_LITERAL:
+        return objects.withColumn("policy", longest_prefix(F.col("object_key"), prefixes, default))
+    table = objects.sparkSession.createDataFrame(list(prefixes.items()), "prefix string, policy string")
+    return by_prefix(objects, table, default)
+
+
 def is_sidecar(key: Column) -> Column:
     return key.endswith(SIDECAR)
 

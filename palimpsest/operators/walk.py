@@ -6,10 +6,12 @@ the DataFrame operator is one pass without a shuffle, with an object a row in an
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
+from pyarrow import fs as afs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,7 @@ from palimpsest.functions import containers, encodings, formats, residual
 from palimpsest.functions.matching import Match, Matcher
 from palimpsest.plans.policy import Policy
 from palimpsest.runtime import ship
+from palimpsest.sources.objects import mark_of, store
 
 STATUSES = ("scrubbed", "unchanged", "binary-skipped", "passthrough-error", "unsupported-format", "guard-tripped", "residual-match")
 INSPECTED = ("scrubbed", "unchanged")
@@ -172,30 +175,53 @@ def clean(text: str) -> str:
     return text if text.isascii() else text.encode("utf-8", "surrogateescape").decode("utf-8", "replace")
 
 
-def walked(objects: DataFrame, policies: dict[str, Policy], default: str, limits: Limits = Limits(), policy: Column | None = None, own_policy: Column | None = None) -> DataFrame:
-    """object_key, output, changed, error, files, residual_samples of each object (object_key, content).
+ABORTED = "aborted"
+
+
+def marked(folder: str, key: str, every: float = 1.0) -> Callable[[], bool]:
+    """Whether a key has been marked in a folder, looked up again once a second at most."""
+    frm, at = store(folder)
+    path, last = f"{at}/{mark_of(key)}", [0.0, False]
+
+    def look() -> bool:
+        now = time.monotonic()
+        if not last[1] and now >= last[0]:
+            last[:] = [now + every, frm.get_file_info(path).type == afs.FileType.File]
+        return last[1]
+
+    return look
+
+
+def walked(objects: DataFrame, policies: dict[str, Policy], default: str, limits: Limits = Limits(), policy: Column | None = None, own_policy: Column | None = None, marks: str | None = None) -> DataFrame:
+    """object_key, output, changed, error, files, residual_samples of each object (object_key, content, and read_error if there is one).
 
     policy: the name of the object's policy; own_policy: a policy of its own as JSON, which beats the name. An object that fails
-    is passed through with its error, and the others go on.
+    or could not be read is passed through with its error, and the others go on. marks: a folder in which the mark of a key
+    aborts the object's walk.
     """
     ship(objects.sparkSession)
-    rows = objects.select("object_key", "content", (policy if policy is not None else F.lit(default)).alias("name"), (own_policy if own_policy is not None else F.lit(None).cast("string")).alias("own"))
+    unread = F.col("read_error") if "read_error" in objects.columns else F.lit(None).cast("string")
+    rows = objects.select("object_key", "content", (policy if policy is not None else F.lit(default)).alias("name"), (own_policy if own_policy is not None else F.lit(None).cast("string")).alias("own"), unread.alias("unread"))
     sent = objects.sparkSession.sparkContext.broadcast(policies)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matchers: dict[str, Matcher] = {}
         for b in batches:
-            for key, content, name, own in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+            for key, content, name, own, unread in zip(b.column(0).to_pylist(), b.column(1), *(b.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
                 data = content.as_buffer().to_pybytes() if content.is_valid else b""
                 out, changed, error, walk = data, False, None, None
                 try:
+                    if unread is not None:
+                        raise OSError(unread)
                     if own is not None:
                         matcher = Matcher(Policy.parse(own))
                     elif (matcher := matchers.get(name)) is None:
                         matcher = matchers[name] = Matcher(sent.value.get(name) or sent.value[default])
-                    walk = Walk(matcher, limits)
+                    walk = Walk(matcher, limits, marked(marks, key or "") if marks else lambda: False)
                     out, changed = walk.run(key or "", data)
                     entries = walk.entries
+                    if walk.aborted():
+                        out, changed, error, entries = data, False, ABORTED, []
                 except Exception as e:  # one object is lost to its error, not the job
                     out, changed, error = data, False, f"{type(e).__name__}: {e}"
                     entries = [Entry(key or "", "passthrough-error", "unclassified", error, len(data), len(data))]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -53,6 +55,57 @@ def store(uri: str) -> tuple[afs.FileSystem, str]:
     return afs.FileSystem.from_uri(uri) if "://" in uri else (afs.LocalFileSystem(), uri)
 
 
+def mark_of(key: str) -> str:
+    """The name of a key's file in a folder of marks."""
+    return hashlib.sha256(key.encode("utf-8", "surrogateescape")).hexdigest() + ".json"
+
+
+class Marks:
+    """What is kept of keys, beyond the life of a driver: a file a key, written whole."""
+
+    def __init__(self, folder: str) -> None:
+        self.folder = folder
+        self.to, self.at = store(folder)
+        self.to.create_dir(self.at, recursive=True)
+
+    def put(self, key: str, value: dict) -> None:
+        own = f"{self.at}/.{mark_of(key)}"
+        with self.to.open_output_stream(own) as f:
+            f.write(json.dumps({"key": key} | value).encode())
+        replaced(self.to, own, f"{self.at}/{mark_of(key)}")
+
+    def drop(self, key: str) -> None:
+        if self.to.get_file_info(f"{self.at}/{mark_of(key)}").type == afs.FileType.File:
+            self.to.delete_file(f"{self.at}/{mark_of(key)}")
+
+    def all(self) -> dict[str, dict]:
+        out = {}
+        for info in self.to.get_file_info(afs.FileSelector(self.at)):
+            if info.type == afs.FileType.File and not info.base_name.startswith("."):
+                with self.to.open_input_stream(info.path) as f:
+                    value = json.loads(f.read())
+                out[value.pop("key")] = value
+        return out
+
+
+def contents(rows: DataFrame) -> DataFrame:
+    """Listed objects (object_key, path) with content and read_error: a local file that can't be read is a row, not a failed job."""
+    ship(rows.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for key, path in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                data, error = b"", None
+                try:
+                    with open(re.sub("^file:/*", "/", path), "rb") as f:
+                        data = f.read()
+                except OSError as e:
+                    error = str(e.strerror or e)
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((key, pa.string()), (data, pa.binary()), (error, pa.string()))], ["object_key", "content", "read_error"])
+
+    return rows.select("object_key", "path").mapInArrow(run, "object_key string, content binary, read_error string")
+
+
 def replaced(to: afs.FileSystem, own: str, target: str) -> None:
     """Moves a file that is whole to its name, over one that an earlier attempt left there, as not all file systems do by themselves."""
     if not isinstance(to, afs.LocalFileSystem) and to.get_file_info(target).type == afs.FileType.File:
