@@ -107,6 +107,21 @@ def bundled(df: DataFrame, group: str, name: str, text: str, layers: tuple[str,
     return rows.groupBy("object_key").applyInPandas(run, "object_key string, content binary")
 
 
+def contents_by(df: DataFrame, key: str, text: str, number: str, kinds: list[tuple[bytes, tuple[str, ...], bytes | None]]) -> DataFrame:
+    """object_key, number, content: each row's text as the kind that its number says: (what stands before the text, layers around both, or a content of its own)."""
+    ship(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data = []
+            for t, n in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                head, layers, own = kinds[n % len(kinds)]
+                data.append(own if own is not None else packed([("member", head + (t or "").encode())], list(layers)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(data, pa.binary())], ["object_key", "number", "content"])
+
+    return df.select(F.col(key).cast("string").alias("object_key"), text, F.col(number).cast("long").alias("number")).mapInArrow(run, "object_key string, number long, content binary")
+
+
 def unbundled(objects: DataFrame, content: str = "output") -> DataFrame:
     """object_key, path, text of every leaf of the objects."""
     ship(objects.sparkSession)

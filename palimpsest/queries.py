@@ -193,24 +193,53 @@ def rule_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.breakdown(matches_by_rule(spark, sf_dir))
 
 
+#: What the contents of documents are, by doc_id: text in four kinds of packing, text behind the signature of a format that is not
+#: expanded, contents of their own that trip each guard, and text whose own policy is broken. Then status, reason and hits of each.
+CLEAN_LINE, HIT_LINE = b"nothing here\n", b"user bob@acme.test\n"
+SEVEN_ZIP = formats.SIGNATURES[6][1] + b"\0\0"
+GUARDS = walk.Limits(depth=3, total_bytes=8 << 20, members=2)
+KINDS: list[tuple[bytes, tuple[str, ...], bytes | None, str, str, int]] = [
+    (b"", (), None, "", "", 0),
+    (b"", ("gzip",), None, "", "", 0),
+    (b"", ("tar",), None, "", "", 0),
+    (b"", ("zip", "gzip"), None, "", "", 0),
+    (SEVEN_ZIP, (), None, "unsupported-format", "unsupported-format", -1),
+    (b"", (), b"\x89PNG\r\n\x1a\n" + b"\1\2\3\x7f" * 400, "binary-skipped", "binary", 0),
+    (b"", (), (HIT_LINE * 4).decode().encode("utf-32-le") + b"\0\0\x11\0", "binary-skipped", "encoding-unsupported", 4),
+    (b"", (), packing.packed([("", HIT_LINE * 50)], ["gzip"])[:30], "passthrough-error", "malformed", 0),
+    (b"", (), packing.packed([("", CLEAN_LINE)], ["gzip"] * 5), "guard-tripped", "depth-cap", 0),
+    (b"", (), packing.archived("tar", [(f"m{i}", HIT_LINE) for i in range(3)]), "guard-tripped", "member-cap", 3),
+    (b"", (), packing.packed([("", bytes(9 << 20))], ["zstd"]), "guard-tripped", "expansion-budget", 0),
+    (b"", (), None, "passthrough-error", "unclassified", 0),
+]
+BROKEN = len(KINDS) - 1
+
+
+def size_of(kind: tuple) -> int:
+    """The bytes of a content of its own, or of what is left of it at the depth cap."""
+    return len(packing.packed([("", CLEAN_LINE)], ["gzip"]) if kind[4] == "depth-cap" else kind[2])
+
+
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as the files of bundles, which their sources are; short Spanish ones stand for what can't be inspected."""
-    rows = columns.scrubbed(texts(spark, sf_dir, "documents", "doc_id", "source", "lang", "n_chars", "text"), "text", TERMS)
-    hole = (F.col("lang") == "es") & (F.col("n_chars") < 400)
-    reason = F.when(hole, F.when(F.col("n_chars") < 200, "binary").otherwise("member-cap"))
-    status = F.when(hole & (F.col("n_chars") < 200), "binary-skipped").when(hole, "guard-tripped").when(F.col("n_matches") > 0, "scrubbed").otherwise("unchanged")
-    size = F.octet_length("text").cast("long")
-    return rows.select(
-        F.col("source").alias("object_key"), F.col("doc_id").alias("seq"), F.concat(F.lit("file-"), F.col("doc_id").cast("string")).alias("path"), status.alias("status"), reason.alias("reason"),
-        F.when(hole, "not looked at").otherwise("utf-8").alias("detail"), size.alias("bytes_in"), F.when(hole, size).otherwise(F.octet_length("clean_text")).cast("long").alias("bytes_out"),
-        F.when(hole, 0).otherwise(F.col("n_matches")).cast("long").alias("match_count"), F.when(hole & (F.col("n_chars") > 100), F.col("n_matches")).otherwise(0).cast("long").alias("residual_hits"), F.lit("").alias("residual"),
-    )
-
-
-SQL_FILES = f"""(SELECT source AS object_key, d.doc_id AS seq, CASE WHEN lang = 'es' AND n_chars < 400 AND n_chars < 200 THEN 'binary-skipped' WHEN lang = 'es' AND n_chars < 400 THEN 'guard-tripped' WHEN n_matches > 0 THEN 'scrubbed' ELSE 'unchanged' END AS status,
-    CASE WHEN lang = 'es' AND n_chars < 400 THEN CASE WHEN n_chars < 200 THEN 'binary' ELSE 'member-cap' END END AS reason, strlen(d.text) AS bytes_in, CASE WHEN lang = 'es' AND n_chars < 400 THEN strlen(d.text) ELSE strlen(clean_text) END AS bytes_out,
-    CASE WHEN lang = 'es' AND n_chars < 400 THEN 0 ELSE n_matches END AS match_count, CASE WHEN lang = 'es' AND n_chars < 400 AND n_chars > 100 THEN n_matches ELSE 0 END AS residual_hits
-    FROM documents d JOIN ({sql_scrub(TERMS, 'documents', 'doc_id')}) s USING (doc_id))"""
+    """The files of a walk over all documents, each an object of one of the kinds; the objects of a source count as one."""
+    docs = texts(spark, sf_dir, "documents", "doc_id", "source", "text")
+    key = F.concat_ws("/", "source", F.col("doc_id").cast("string"))
+    objects = packing.contents_by(docs.select(key.alias("key"), "text", "doc_id"), "key", "text", "doc_id", [k[:3] for k in KINDS])
+    own = F.when(F.col("number") % len(KINDS) == BROKEN, F.lit("{"))
+    files = walk.files(walk.walked(objects, {"terms": TERMS}, "terms", GUARDS, own_policy=own))
+    seq = F.substring_index("object_key", "/", -1).cast("long")
+    return files.withColumns({"seq": seq, "path": F.concat(F.lit("file-"), seq.cast("string")), "object_key": F.expr("left(object_key, length(object_key) - length(substring_index(object_key, '/', -1)) - 1)")})
+
+
+def sql_kind(*values: str) -> str:
+    return "CASE doc_id % " + str(len(KINDS)) + " " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values)) + " END"
+
+
+SQL_RUNS = "regexp_replace(text, '[\\x00-\\x1f\\x7f]', chr(10), 'g')"
+SQL_FILES = f"""(SELECT source AS object_key, doc_id AS seq, coalesce({sql_kind(*[quoted(k[3]) if k[3] else 'NULL' for k in KINDS])}, CASE WHEN n_matches > 0 THEN 'scrubbed' ELSE 'unchanged' END) AS status, {sql_kind(*[quoted(k[4]) if k[4] else 'NULL' for k in KINDS])} AS reason,
+    {sql_kind(*[f'strlen(text) + {len(k[0])}' if k[2] is None else str(size_of(k)) for k in KINDS])} AS bytes_in, {sql_kind(*[str(size_of(k)) if k[2] is not None else f'strlen(text) + {len(k[0])}' if k[3] else 'strlen(clean_text)' for k in KINDS])} AS bytes_out,
+    {sql_kind(*['0' if k[3] else 'n_matches' for k in KINDS])} AS match_count, {sql_kind(*['n_runs' if k[5] < 0 else str(k[5]) for k in KINDS])} AS residual_hits
+    FROM documents d JOIN ({sql_scrub(TERMS, 'documents', 'doc_id')}) s USING (doc_id) JOIN (SELECT doc_id, n_matches AS n_runs FROM ({sql_scrub(TERMS, f'(SELECT doc_id, {SQL_RUNS} AS text FROM documents)', 'doc_id')})) r USING (doc_id))"""
 SQL_COUNTERS = """count(*) AS files_total, count(*) FILTER (status = 'scrubbed') AS files_scrubbed, count(*) FILTER (status = 'unchanged') AS files_unchanged, count(*) FILTER (status = 'binary-skipped') AS files_binary_skipped,
     count(*) FILTER (status NOT IN ('scrubbed', 'unchanged', 'binary-skipped')) AS files_passthrough, count(*) FILTER (status IN ('scrubbed', 'unchanged')) AS files_inspected, count(*) FILTER (status NOT IN ('scrubbed', 'unchanged')) AS files_not_inspected,
     CAST(sum(match_count) AS BIGINT) AS total_matches, CAST(sum(residual_hits) AS BIGINT) AS residual_hits, CAST(sum(bytes_in) AS BIGINT) AS bytes_in, CAST(sum(bytes_out) AS BIGINT) AS bytes_out"""
@@ -483,6 +512,7 @@ def add_bundled(name: str, *layers: str) -> None:
 add_bundled("arch_tar", "tar")
 add_bundled("arch_targz", "tar", "gzip")
 add_bundled("arch_zip", "zip")
+add_walked("arch_nested", layers=("gzip", "zlib", "tar", "zstd", "zip", "gzip"))
 
 
 @query("walk_files", f"SELECT CAST(doc_id AS VARCHAR) AS path, CASE WHEN n_matches > 0 THEN 'scrubbed' ELSE 'unchanged' END AS status, strlen(text) AS bytes_in, strlen(clean_text) AS bytes_out, n_matches AS match_count FROM documents JOIN ({sql_scrub(STRICT, 'documents', 'doc_id')}) USING (doc_id)")
@@ -509,7 +539,7 @@ def add_residual(name: str, encoding: str) -> None:
     @query(name, sql_residual("text"))
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         objects = packing.encoded(texts(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text", encoding)
-        head = F.lit(bytearray(formats.SIGNATURES[6][1] + b"\0\0")) if encoding == "utf-8" else F.lit(bytearray(formats.SIGNATURES[6][1] + b"\1\1"))
+        head = F.lit(bytearray(SEVEN_ZIP))
         done = walk.walked(objects.withColumn("content", F.concat(head, "content")), {"strict": STRICT}, "strict")
         f = walk.files(done)
         return f.select(F.col("object_key").cast("long").alias("doc_id"), report.verdict(F.lit(1), F.col("residual_hits")).alias("verdict"), "residual_hits")
@@ -548,9 +578,58 @@ def digest_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary_by_source(spark, sf_dir).select("object_key", "verdict", "files_total", "files_scrubbed", "files_not_inspected", "files_binary_skipped", "files_passthrough", "total_matches", "residual_hits")
 
 
-@query("progress", f"SELECT 'file-' || seq AS path, status, CASE WHEN reason IS NULL THEN 'utf-8' ELSE 'not looked at' END AS detail, bytes_in, bytes_out FROM {SQL_FILES}")
+@query("progress", f"SELECT 'file-' || seq AS path, status, CASE WHEN reason IS NULL THEN 'utf-8' ELSE 'not inspected' END AS detail, bytes_in, bytes_out FROM {SQL_FILES}")
 def progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.progress(document_files(spark, sf_dir))
+    files = document_files(spark, sf_dir)
+    return report.progress(files.withColumn("detail", F.when(report.is_inspected(F.col("status")), F.col("detail")).otherwise("not inspected")))
+
+
+@query("walk_summary", f"SELECT *, status_inspected > 0 AS any_inspected FROM (SELECT reason, count(*) AS n, CAST(sum(residual_hits) AS BIGINT) AS residual_hits, count(*) FILTER (status IN ('scrubbed', 'unchanged')) AS status_inspected FROM {SQL_FILES} GROUP BY reason)")
+def walk_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files by reason, over objects that trip the depth, member and budget guards, are malformed, unknown, binary or failed."""
+    inspected = F.count_if(report.is_inspected(F.col("status"))).alias("status_inspected")
+    return document_files(spark, sf_dir).groupBy("reason").agg(F.count("*").alias("n"), F.sum("residual_hits").alias("residual_hits"), inspected).withColumn("any_inspected", F.col("status_inspected") > 0)
+
+
+SQL_LABELS = f"SELECT object_key, label, count(*) AS n FROM (SELECT source AS object_key, replacement AS label FROM ({sql_matches(TERMS, 'documents', 'doc_id')}) JOIN documents USING (doc_id) WHERE {sql_kind(*['FALSE' if k[3] else 'TRUE' for k in KINDS])}) GROUP BY ALL"
+
+
+@query("walk_labels", SQL_LABELS)
+def walk_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches of each object by label, as its summary has them."""
+    counts = report.summary(document_files(spark, sf_dir)).select("object_key", F.explode("matches_by_label").alias("label", "n"))
+    return counts.select("object_key", "label", "n")
+
+
+@query("walk_holes", f"SELECT object_key, reason, count(*) AS n, files_not_inspected FROM {SQL_FILES} JOIN (SELECT object_key, count(*) FILTER (reason IS NOT NULL) AS files_not_inspected FROM {SQL_FILES} GROUP BY object_key) USING (object_key) WHERE reason IS NOT NULL GROUP BY ALL")
+def walk_holes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Holes of each object by reason, as its summary has them."""
+    return report.summary(document_files(spark, sf_dir)).select("object_key", "files_not_inspected", F.explode("by_reason").alias("reason", "n"))
+
+
+@query("report_matches", f"SELECT source AS object_key, doc_id AS seq, rule, line, \"offset\", concat('sha256:', substr(sha256(concat('palimpsest', original)), 1, 12)) AS original, replacement FROM ({sql_matches(TERMS, 'documents', 'doc_id')}) JOIN documents USING (doc_id) WHERE ordinal <= 3 AND {sql_kind(*['FALSE' if k[3] else 'TRUE' for k in KINDS])}")
+def report_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The matches that reports list, three a file, with digests of what was found."""
+    files = report.capped(document_files(spark, sf_dir), 3, 1 << 40)
+    listed = files.select("object_key", "seq", F.explode(report.audited(F.col("matches"), F.col("kept"), "full", "palimpsest")).alias("m"))
+    return listed.select("object_key", "seq", "m.rule", F.col("m.line").cast("long").alias("line"), "m.offset", "m.original", "m.replacement")
+
+
+@query("depth_cap", "SELECT doc_id, 'guard-tripped' AS status, 'depth-cap' AS reason, FALSE AS changed FROM documents")
+def depth_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in more layers than may be opened."""
+    objects = packing.encoded(texts(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text", "utf-8", ("gzip", "zlib", "gzip"))
+    done = walk.walked(objects, {"strict": STRICT}, "strict", walk.Limits(depth=2))
+    return done.select(F.col("object_key").cast("long").alias("doc_id"), F.explode("files").alias("f"), "changed").select("doc_id", "f.status", "f.reason", "changed")
+
+
+@query("member_names", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '[EMAIL]' ELSE 'member-' || doc_id END AS name FROM documents")
+def member_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of members as the walk leaves them in the archive."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("m"), F.col("doc_id").cast("string"), F.lit("@acme.test"))).otherwise(F.concat(F.lit("member-"), F.col("doc_id").cast("string"))).alias("name"), F.lit("plain").alias("text"))
+    objects = packing.bundled(docs, "doc_id", "name", "text", ("tar",))
+    done = packing.unbundled(walk.walked(objects, {"strict": STRICT}, "strict"))
+    return done.select(F.substring_index("object_key", "#", 1).cast("long").alias("doc_id"), F.substring_index("path", "!", -1).alias("name"))
 
 
 @query("queue_snapshot", f"SELECT object_key FROM {SQL_QUEUE} ORDER BY \"at\", object_key LIMIT {queueing.SNAPSHOT}")
@@ -558,6 +637,11 @@ def queue_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queueing.snapshot(eligible_keys(spark, sf_dir).withColumnRenamed("last_modified", "at")).select("object_key")
 
 
+@query("process_histogram", "SELECT b AS le, (SELECT count(*) FROM events WHERE value <= b) AS n FROM (VALUES " + ", ".join(f"({b!r}::DOUBLE)" for b in queueing.PROCESS_BOUNDS) + ", ('infinity'::DOUBLE)) AS t(b)")
+def process_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return queueing.histogram(table(spark, sf_dir, "events"), "value", queueing.PROCESS_BOUNDS)
+
+
 @query("throughput_windows", "SELECT date_trunc('hour', ts) AS start, event_type AS verdict, count(*) AS jobs, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS bytes_in FROM events GROUP BY ALL")
 def throughput_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palimpsest.streaming import service
