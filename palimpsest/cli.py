@@ -80,12 +80,15 @@ def run(args: argparse.Namespace, policy: Policy, say) -> int:
     # the files of one run make one report, in order of the objects and within them
     files = walk.files(done).withColumn("_object", F.col("object_key"))
     files = files.withColumn("seq", F.struct(F.col("_object").alias("object"), "seq")).withColumn("object_key", F.lit(os.path.abspath(args.source))).persist()
-    summaries = report.summary(files).persist()
+    found_in = walk.samples(done).select(F.lit(os.path.abspath(args.source)).alias("object_key"), F.struct(F.col("object_key").alias("object"), "seq").alias("seq"), "sample")
+    summaries = report.with_samples(report.summary(files), found_in).persist()
     found = summaries.select("verdict", "files_not_inspected").first()
     if not args.dry_run:
         folder = os.path.abspath(args.source if args.in_place else args.out)
         named = done.withColumn("output_key", F.lit(os.path.basename(folder)) if single else F.col("object_key"))
-        store.write_objects(named.where("error is null"), os.path.dirname(folder) if single else folder).count()
+        origin = os.path.dirname(os.path.abspath(args.source)) if single else os.path.abspath(args.source)
+        named = named.withColumn("_origin", F.concat(F.lit(origin + "/"), "object_key"))
+        store.write_objects(named.where("error is null"), os.path.dirname(folder) if single else folder, like="_origin").count()
     if args.report:
         line = report.report_json(files, summaries, args.audit, args.salt if args.redact_report else None).first()
         with open(args.report, "w", encoding="utf-8", opener=lambda path, flags: os.open(path, flags, 0o600)) as f:

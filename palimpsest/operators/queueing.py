@@ -74,8 +74,13 @@ def positions(pending: DataFrame, inflight: DataFrame) -> DataFrame:
     return running.union(waiting).withColumn("depth", F.lit(n_in + n_all).cast("long"))
 
 
-def snapshot(pending: DataFrame, limit: int = SNAPSHOT) -> DataFrame:
-    return pending.orderBy("at", "object_key").limit(limit)
+def snapshot(pending: DataFrame, limit: int = SNAPSHOT, inflight: DataFrame | None = None) -> DataFrame:
+    """The first `limit` that wait, with running: those in flight, which no limit cuts, come before them."""
+    waiting = pending.orderBy("at", "object_key").limit(limit).withColumn("running", F.lit(False))
+    if inflight is None:
+        return waiting
+    both = inflight.withColumn("running", F.lit(True)).unionByName(waiting, allowMissingColumns=True)
+    return both.orderBy(F.desc("running"), F.when(~F.col("running"), F.col("at")), "object_key")
 
 
 def backoff_seconds(attempts: Column) -> Column:

@@ -114,6 +114,20 @@ def summary(files: DataFrame, by: list[str] | None = None, notes: int = NOTES) -
     return out.withColumn("verdict", verdict(F.col("files_not_inspected"), F.col("residual_hits")))
 
 
+def samples_of(files: DataFrame) -> DataFrame:
+    """object_key, seq, sample of the files that were not inspected and that the policy would have changed."""
+    sample = F.concat("path", F.lit(" ("), "reason", F.lit("): "), "residual")
+    return files.where((F.col("residual_hits") > 0) & ~is_inspected(F.col("status"))).select("object_key", "seq", sample.alias("sample"))
+
+
+def with_samples(summaries: DataFrame, samples: DataFrame, most: int = SAMPLES) -> DataFrame:
+    """summaries with residual_samples, the first `most` of each object (object_key, seq, sample) in file order; counts don't depend on it."""
+    first = F.row_number().over(Window.partitionBy("object_key").orderBy("seq"))
+    few = samples.withColumn("_n", first).where(F.col("_n") <= most).groupBy("object_key").agg(F.sort_array(F.collect_list(F.struct("seq", "sample"))).alias("_few"))
+    kept = F.coalesce(F.transform("_few", lambda x: x["sample"]), F.array().cast("array<string>"))
+    return summaries.join(few, "object_key", "left").withColumn("residual_samples", kept).drop("_few")
+
+
 def digest(summaries: DataFrame) -> DataFrame:
     """The narrow part of a summary, as columns and as one line of JSON."""
     names = ["object_key", "verdict", "files_total", "files_scrubbed", "files_not_inspected", "files_binary_skipped", "files_passthrough", "total_matches", "residual_hits", "matches_by_label", "by_reason"]

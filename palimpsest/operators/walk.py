@@ -241,6 +241,11 @@ def arrow_schema() -> pa.Schema:
     return pa.schema([("object_key", pa.string()), ("output", pa.binary()), ("changed", pa.bool_()), ("error", pa.string()), ("files", pa.list_(file)), ("residual_samples", pa.list_(pa.string()))])
 
 
+def samples(objects: DataFrame) -> DataFrame:
+    """object_key, seq, sample: what was found in contents that were not inspected, those that were rolled back included."""
+    return objects.select("object_key", F.posexplode("residual_samples").alias("seq", "sample"))
+
+
 def files(objects: DataFrame) -> DataFrame:
     """A row a file: object_key, seq, and what is known of it, with its count of matches."""
     each = objects.select("object_key", F.posexplode("files").alias("seq", "f"))

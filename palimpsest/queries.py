@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palimpsest.functions import columns, formats
+from palimpsest.functions import columns, formats, residual
 from palimpsest.functions.validators import luhn_column
 from palimpsest.operators import packing, queueing, report, resolve, walk
 from palimpsest.plans.policy import FILE_ENDINGS, PRESETS, Policy
@@ -529,23 +529,35 @@ def walk_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sql_residual(text: str) -> str:
-    runs = f"regexp_replace({text}, '[\\x00-\\x1f\\x7f]', chr(10), 'g')"
-    return f"SELECT doc_id, 'incomplete' || CASE WHEN n_matches > 0 THEN '-risky' ELSE '' END AS verdict, n_matches AS residual_hits FROM ({sql_scrub(STRICT, f'(SELECT doc_id, {runs} AS text FROM documents)', 'doc_id')})"
+    """text: as its reading shows it, in runs. Labels are counted apart, since most documents have none."""
+    runs = f"(SELECT doc_id, {text} AS text FROM documents)"
+    labels = f"SELECT doc_id, string_agg(label || '\u00d7' || n, ', ' ORDER BY label) AS residual FROM (SELECT doc_id, replacement AS label, count(*) AS n FROM ({sql_matches(STRICT, runs, 'doc_id')}) GROUP BY ALL) GROUP BY doc_id"
+    return f"SELECT doc_id, 'incomplete' || CASE WHEN n_matches > 0 THEN '-risky' ELSE '' END AS verdict, n_matches AS residual_hits, coalesce(residual, '') AS residual FROM ({sql_scrub(STRICT, runs, 'doc_id')}) LEFT JOIN ({labels}) USING (doc_id)"
 
 
-def add_residual(name: str, encoding: str) -> None:
+def sql_wide(width: int) -> str:
+    """The text as a reading of `width` bytes a character shows it: runs of what is below U+0100, chunk by chunk behind the signature."""
+    runs = "regexp_replace(regexp_replace(text, '[\\x00-\\x1f\\x7f]', chr(10), 'g'), '[^\\x00-\\x{ff}]', chr(10), 'g')"
+    most, head = residual.CHUNK // width, len(SEVEN_ZIP) // width
+    part = f"substr({runs}, greatest(i * {most} - {head}, 0) + 1, CASE WHEN i = 0 THEN {most - head} ELSE {most} END)"
+    return f"array_to_string(list_transform(range(0, (length(text) + {head}) // {most} + 1), lambda i: {part}), chr(10))"
+
+
+def add_residual(name: str, encoding: str, text: str) -> None:
     """Documents behind the signature of a format that is not expanded: what the policy would have found in them."""
 
-    @query(name, sql_residual("text"))
+    @query(name, sql_residual(text))
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         objects = packing.encoded(texts(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text", encoding)
         head = F.lit(bytearray(SEVEN_ZIP))
         done = walk.walked(objects.withColumn("content", F.concat(head, "content")), {"strict": STRICT}, "strict")
         f = walk.files(done)
-        return f.select(F.col("object_key").cast("long").alias("doc_id"), report.verdict(F.lit(1), F.col("residual_hits")).alias("verdict"), "residual_hits")
+        return f.select(F.col("object_key").cast("long").alias("doc_id"), report.verdict(F.lit(1), F.col("residual_hits")).alias("verdict"), "residual_hits", "residual")
 
 
-add_residual("residual_utf8", "utf-8")
+add_residual("residual_utf8", "utf-8", SQL_RUNS)
+for codec in ("utf-16-le", "utf-16-be", "utf-32-le", "utf-32-be"):
+    add_residual(f"residual_{codec.replace('-', '')}", codec, sql_wide(2 if "16" in codec else 4))
 
 
 @query("detect_formats", "SELECT kind, count(*) AS n FROM (SELECT unnest(['', 'gzip', 'tar', 'xz', 'zip', 'zlib', 'zstd']) AS kind FROM documents) GROUP BY kind")
@@ -558,8 +570,6 @@ def detect_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return objects.select(formats.detect_column(F.col("content")).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-
-
 VERDICTS = ("complete", "incomplete", "incomplete-risky")
 
 
@@ -632,9 +642,24 @@ def member_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select(F.substring_index("object_key", "#", 1).cast("long").alias("doc_id"), F.substring_index("path", "!", -1).alias("name"))
 
 
-@query("queue_snapshot", f"SELECT object_key FROM {SQL_QUEUE} ORDER BY \"at\", object_key LIMIT {queueing.SNAPSHOT}")
+@query("queue_snapshot", f"WITH q AS {SQL_QUEUE} SELECT object_key, TRUE AS running FROM q WHERE ends_with(object_key, '77') UNION ALL SELECT * FROM (SELECT object_key, FALSE FROM q WHERE NOT ends_with(object_key, '77') ORDER BY \"at\", object_key LIMIT {queueing.SNAPSHOT})")
 def queue_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queueing.snapshot(eligible_keys(spark, sf_dir).withColumnRenamed("last_modified", "at")).select("object_key")
+    q = eligible_keys(spark, sf_dir).withColumnRenamed("last_modified", "at")
+    inflight = q.where("endswith(object_key, '77')")
+    return queueing.snapshot(queueing.without_inflight(q, inflight), inflight=inflight).select("object_key", "running")
+
+
+@query("phase_gauge", "SELECT s AS phase, (SELECT count(*) FROM events WHERE event_type = s) AS n FROM (VALUES ('click'), ('signup'), ('unseen')) AS t(s)")
+def phase_gauge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many jobs are in each phase, those with none included."""
+    return queueing.seeded_counts(table(spark, sf_dir, "events").select(F.col("event_type").alias("phase")), "phase", ["click", "signup", "unseen"])
+
+
+@query("residual_samples", f"SELECT object_key, CAST(least(sum(CASE WHEN residual_hits > 0 THEN 1 ELSE 0 END), {report.SAMPLES}) AS BIGINT) AS n_samples FROM {SQL_FILES} GROUP BY object_key")
+def residual_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of the files that a report did not inspect it names with what the policy would have found in them."""
+    files = document_files(spark, sf_dir)
+    return report.with_samples(report.summary(files), report.samples_of(files)).select("object_key", F.size("residual_samples").cast("long").alias("n_samples"))
 
 
 @query("process_histogram", "SELECT b AS le, (SELECT count(*) FROM events WHERE value <= b) AS n FROM (VALUES " + ", ".join(f"({b!r}::DOUBLE)" for b in queueing.PROCESS_BOUNDS) + ", ('infinity'::DOUBLE)) AS t(b)")

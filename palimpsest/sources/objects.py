@@ -6,6 +6,7 @@ import hashlib
 import json
 import os
 import re
+import stat
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -113,8 +114,11 @@ def replaced(to: afs.FileSystem, own: str, target: str) -> None:
     to.move(own, target)
 
 
-def write_objects(rows: DataFrame, folder: str, key: str = "output_key", content: str = "output") -> DataFrame:
-    """Writes each row's content under its key, and returns output_key, bytes. A file appears whole, by a rename from a name that is the attempt's own."""
+def write_objects(rows: DataFrame, folder: str, key: str = "output_key", content: str = "output", like: str | None = None) -> DataFrame:
+    """Writes each row's content under its key, and returns output_key, bytes. A file appears whole, by a rename from a name that is the attempt's own.
+
+    like: a column with the path of a local file, whose mode a local output gets; where there is none, the mode is the system's own.
+    """
     ship(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,17 +127,19 @@ def write_objects(rows: DataFrame, folder: str, key: str = "output_key", content
         mark = f"{context.partitionId()}-{context.taskAttemptId()}"
         for b in batches:
             sizes = []
-            for name, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for name, data, origin in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
                 target = f"{at}/{name}"
                 own = f"{os.path.dirname(target)}/.{os.path.basename(target)}.{mark}"
                 to.create_dir(os.path.dirname(target), recursive=True)
                 with to.open_output_stream(own) as f:
                     f.write(data.as_buffer())
+                if origin and isinstance(to, afs.LocalFileSystem) and os.path.isfile(origin):
+                    os.chmod(own, stat.S_IMODE(os.stat(origin).st_mode))
                 replaced(to, own, target)
                 sizes.append(len(data.as_buffer()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64())], ["output_key", "bytes"])
 
-    return rows.select(F.col(key).alias("output_key"), F.coalesce(F.col(content), F.lit(b"")).alias("content")).mapInArrow(run, "output_key string, bytes long")
+    return rows.select(F.col(key).alias("output_key"), F.coalesce(F.col(content), F.lit(b"")).alias("content"), (F.col(like) if like else F.lit(None)).cast("string").alias("origin")).mapInArrow(run, "output_key string, bytes long")
 
 
 def write_texts(rows: DataFrame, folder: str, key: str, text: str, suffix: str) -> DataFrame:

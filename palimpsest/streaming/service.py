@@ -190,7 +190,7 @@ def process(rows: DataFrame, service: Service, large: DataFrame | None = None) -
         files = walk.files(good)
         if large is not None:
             files = files.unionByName(too_large(large, service.most_bytes))
-        summaries = report.summary(files).persist()
+        summaries = report.with_samples(report.summary(files), walk.samples(good)).persist()
         routed = good.join(summaries.select("object_key", "verdict"), "object_key").withColumn("output_key", report.output_key(F.col("object_key"), F.col("verdict")))
         store.write_objects(routed, service.outbox).count()
         digests = report.digest(summaries)

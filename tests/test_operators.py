@@ -95,6 +95,8 @@ def test_queue(spark):
     assert [r["object_key"] for r in kept.collect()] == ["zzz", "mmm", "aaa", "a"] and dropped.first()["dropped"] == 2
     assert queueing.ranked(q.where("false")).count() == 0
     assert [r[0] for r in queueing.snapshot(q, 2).select("object_key").collect()] == ["zzz", "mmm"]
+    running = spark.createDataFrame([("y",), ("x",)], "object_key string")
+    assert [tuple(r) for r in queueing.snapshot(q, 1, running).select("object_key", "running").collect()] == [("x", True), ("y", True), ("zzz", False)]
 
 
 def test_histogram(spark):
@@ -213,12 +215,25 @@ def test_cli(spark, folder, capsys):
     rep = json.loads((folder / "r.json").read_text())
     assert rep["summary"]["total_matches"] == 6 and len(rep["files"]) == 2
     assert stat.S_IMODE(os.stat(folder / "r.json").st_mode) == 0o600
-    assert "COMPLETE" in capsys.readouterr().err
+    assert "COMPLETE" in capsys.readouterr().err and rep["summary"]["residual_samples"] == []
     (folder / "in" / "c.png").write_bytes(PNG)
     assert cli.main([*base, "--dry-run", "--fail-on-unscrubbed"]) == 3
     assert cli.main([*base, "--dry-run", "--fail-on-risky"]) == 0
     one = ["--terms", str(folder / "terms.json"), "--in", str(folder / "in" / "a.log")]
+    os.chmod(folder / "in" / "a.log", 0o640)
     assert cli.main([*one, "--in-place"]) == 0 and "[EMAIL]" in (folder / "in" / "a.log").read_text()
+    assert stat.S_IMODE(os.stat(folder / "in" / "a.log").st_mode) == 0o640
+
+
+def test_samples_of_a_report(spark):
+    head = bytearray(b"7z\xbc\xaf\x27\x1c\0\0" + LINE.encode())
+    rows = spark.createDataFrame([("o", packing.archived("tar", [(f"m{i:02}", bytes(head)) for i in range(30)])), ("p", LINE.encode())], "object_key string, content binary")
+    done = walk.walked(rows, {"p": Policy.parse(TERMS)}, "p")
+    files = walk.files(done)
+    for found in (walk.samples(done), report.samples_of(files)):
+        got = {r["object_key"]: r for r in report.with_samples(report.summary(files), found).collect()}
+        assert got["p"]["residual_samples"] == [] and got["o"]["files_not_inspected"] == 30 and got["o"]["residual_hits"] > 0
+        assert [x.split(" ")[0] for x in got["o"]["residual_samples"]] == [f"o!m{i:02}" for i in range(report.SAMPLES)]
 
 
 def test_unreadable_files_are_rows(spark, tmp_path):
