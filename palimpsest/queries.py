@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import columns, formats, residual
@@ -499,14 +499,32 @@ for kind in ("gzip", "zlib", "xz", "zstd"):
     add_walked(f"arch_{kind}", layers=(kind,))
 
 
+def led(text: Column) -> Column:
+    """A text as a member holds it: behind a return, so that none begins like a container or with a mark.
+
+    Text with a zero byte is packed as UTF-16, and counts as binary if over a tenth of it are controls: there, lines' ends before
+    the return make up for them. No match holds or needs any of these.
+    """
+    controls = F.length(F.regexp_replace(text, r"[^\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", ""))
+    return F.concat(F.repeat(F.lit("\n"), F.when(F.contains(text, F.lit("\0")), controls * 10).otherwise(0)), F.lit("\r"), text)
+
+
+def member(key: str) -> Column:
+    """A member's name that no rule finds anything in: bare ids of ten digits are telephone numbers, longer ones cards."""
+    return F.concat(F.lit("doc_"), F.coalesce(F.translate(F.col(key).cast("string"), "-", "m"), F.lit("")))
+
+
+def member_id(path: str) -> Column:
+    return F.nullif(F.translate(F.substring_index(path, "!doc_", -1), "m", "-"), F.lit("")).cast("long")
+
+
 def add_bundled(name: str, *layers: str) -> None:
     @query(name, sql_scrub(STRICT, "documents", "doc_id"))
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        objects = packing.bundled(table(spark, sf_dir, "documents"), "source", "doc_id", "text", layers)
-        done = walk.walked(objects, {"strict": STRICT}, "strict")
-        texts = packing.unbundled(done).select(F.substring_index("path", "!", -1).cast("long").alias("doc_id"), F.col("text").alias("clean_text"))
-        counts = walk.files(done).select(F.substring_index("path", "!", -1).cast("long").alias("doc_id"), F.col("match_count").alias("n_matches"))
-        return texts.join(counts, "doc_id")
+        docs = table(spark, sf_dir, "documents")
+        docs = docs.select("source", member("doc_id").alias("name"), led(F.coalesce("text", F.lit(""))).alias("text"))
+        done = walk.walked(packing.bundled(docs, "source", "name", "text", layers), {"strict": STRICT}, "strict")
+        return packing.unbundled(done, counted=True).select(member_id("path").alias("doc_id"), F.substring("text", F.locate("\r", "text") + 1, F.length("text")).alias("clean_text"), "n_matches")
 
 
 add_bundled("arch_tar", "tar")

@@ -257,6 +257,14 @@ def test_bundles_are_bounded(spark):
     assert made.count() > 10 and packing.unbundled(made, "content").count() == 300
 
 
+def test_leaves_that_begin_like_containers(spark):
+    texts = ["80 sheep", "x rays", "PK\x03\x04 no zip", "plain"]
+    rows = spark.createDataFrame([("o", packing.archived("tar", [("m", t.encode()) for t in texts]))], "object_key string, content binary")
+    done = walk.walked(rows, {"p": Policy.parse(TERMS)}, "p")
+    assert [r["text"] for r in packing.unbundled(done).collect()] == texts
+    assert [(r["text"], r["n_matches"]) for r in packing.unbundled(done, counted=True).collect()] == [(t, 0) for t in texts]
+
+
 def test_cli_errors(spark, folder):
     assert cli.main([]) == 2
     assert cli.main(["--terms", str(folder / "terms.json"), "--in", str(folder / "in")]) == 2
